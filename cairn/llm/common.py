@@ -1,0 +1,16 @@
+"""Helpers of the training-data operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Give work that is heavy for each byte at least ``factor`` partitions a core.
+
+    Few input files would leave cores idle; with enough of them the rows stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= factor * cores:
+        return df
+    return df.repartition(2 * factor * cores)
