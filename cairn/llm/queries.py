@@ -11,6 +11,7 @@ from ..plans.registry import Registry
 from ..sources.tables import table
 from .bpe import count_tokens, encode_corpus
 from .handwritten import classify_files
+from .language import label_findings, language_segments
 from .packing import pack_windows, window_report
 from .quantiles import merge_sketches, sketch_parts, sketch_quantiles
 from .topn import symbol_scores, top_n
@@ -107,3 +108,15 @@ def p7_windows(spark: SparkSession, root: str) -> DataFrame:
 def p7_report(spark: SparkSession, root: str) -> DataFrame:
     """How full the windows of each kind are."""
     return window_report(p7_windows(spark, root), table(spark, root, "context_windows"))
+
+
+@registry.add("p8_found")
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Languages of documents that their labels do not name."""
+    return label_findings(table(spark, root, "documents")).select("doc_id", "lang").distinct()
+
+
+@registry.add("p8_segments")
+def p8_segments(spark: SparkSession, root: str) -> DataFrame:
+    """Every stretch of prose with its language and confidence."""
+    return language_segments(table(spark, root, "documents"))
