@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import fold_key
 from ..plans.registry import Registry
+from ..session import cut
 from ..sources.tables import table
 from .bpe import count_tokens, encode_corpus
 from .handwritten import classify_files
@@ -53,17 +54,21 @@ _PS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 @registry.add("p3_quantiles")
 def p3_quantiles(spark: SparkSession, root: str) -> DataFrame:
-    """Percentiles of both measures for each variant and category, from sketches of partitions."""
+    """Percentiles of both measures for each variant and category, of each day and of all days.
+
+    A day's sketch is made from that day alone; those of all days (day null) are combined from them.
+    """
     keys = ["variant", "category", "measure"]
-    return sketch_quantiles(merge_sketches(sketch_parts(_measures(spark, root), keys), keys), keys, _PS)
+    days = cut(merge_sketches(sketch_parts(_measures(spark, root), ["day", *keys]), ["day", *keys]))
+    every = merge_sketches(days, keys).select(F.lit(None).cast("string").alias("day"), *keys, "n", "low", "high", "levels")
+    return sketch_quantiles(days.unionByName(every), ["day", *keys], _PS)
 
 
-@registry.add("p3_from_days")
-def p3_from_days(spark: SparkSession, root: str) -> DataFrame:
-    """The same from one sketch a day, each computed alone and combined afterwards."""
+@registry.add("p3_totals")
+def p3_totals(spark: SparkSession, root: str) -> DataFrame:
+    """Percentiles over all days, from sketches of partitions."""
     keys = ["variant", "category", "measure"]
-    days = merge_sketches(sketch_parts(_measures(spark, root), ["day", *keys]), ["day", *keys])
-    return sketch_quantiles(merge_sketches(days, keys), keys, _PS)
+    return sketch_quantiles(merge_sketches(sketch_parts(_measures(spark, root), keys), keys), keys, _PS)
 
 
 _TOP5 = """
