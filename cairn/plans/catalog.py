@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import integrity
+from . import integrity, relational
 from .registry import Query
 
-_MODULES = (integrity,)
+_MODULES = (integrity, relational)
 
 
 def queries() -> dict[str, Query]:
