@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import integrity, relational
+from . import aggregation, integrity, relational
 from .registry import Query
 
-_MODULES = (integrity, relational)
+_MODULES = (integrity, relational, aggregation)
 
 
 def queries() -> dict[str, Query]:

@@ -47,7 +47,7 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 
 def metrics(spark: SparkSession, root: str) -> DataFrame:
     """Latest metrics of each symbol under its folded ``id``; NaN and null count as 0."""
-    m = latest(table(spark, root, "symbol_metrics").select("symbol_id", "fan_in", "fan_out", "churn30d", "page_rank", "k_core", "updated_at"), ["symbol_id"], "updated_at")
+    m = latest(table(spark, root, "symbol_metrics").select("symbol_id", "fan_in", "fan_out", "churn30d", "page_rank", "k_core", "updated_at"), ["symbol_id"], "updated_at", "fan_in", "page_rank", "churn30d", "fan_out", "k_core")
     zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("fan_in", "fan_out", "churn30d", "k_core")}
     return m.select(fold_key(F.col("symbol_id")).alias("id"), *zero.values(), F.when(F.col("page_rank").isNull() | F.isnan("page_rank"), 0.0).otherwise(F.col("page_rank")).alias("page_rank"))
 
@@ -76,7 +76,7 @@ SQL = {
     "sym": f"SELECT *, {_F.format('symbol_id')} AS id FROM symbols WHERE symbol_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY updated_at DESC NULLS LAST) = 1",
     "edg": f"SELECT * FROM (SELECT DISTINCT ON (edge_id) edge_id, {_F.format('from_symbol_id')} AS src, {_F.format('to_symbol_id')} AS dst, edge_type, weight, confidence, {_F.format('resolution')} AS resolution, created_at FROM depends_on) WHERE src <> '' AND dst <> ''",
     "fil": "SELECT file_id, repo_id, path, content_hash, language, byte_size, last_indexed_at, head_text FROM (SELECT *, regexp_replace(regexp_replace(translate(trim(rel_path), '\\', '/'), '/+', '/', 'g'), '^(\\./)+', '') AS path FROM source_files WHERE file_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY last_indexed_at DESC NULLS LAST, path DESC NULLS LAST, content_hash DESC NULLS LAST) = 1",
-    "met": f"SELECT {_F.format('symbol_id')} AS id, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, coalesce(churn30d, 0) AS churn30d, coalesce(k_core, 0) AS k_core, CASE WHEN page_rank IS NULL OR isnan(page_rank) THEN 0 ELSE page_rank END AS page_rank FROM (SELECT * FROM symbol_metrics WHERE symbol_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY updated_at DESC NULLS LAST) = 1)",
+    "met": f"SELECT {_F.format('symbol_id')} AS id, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, coalesce(churn30d, 0) AS churn30d, coalesce(k_core, 0) AS k_core, CASE WHEN page_rank IS NULL OR isnan(page_rank) THEN 0 ELSE page_rank END AS page_rank FROM (SELECT * FROM symbol_metrics WHERE symbol_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY updated_at DESC NULLS LAST, fan_in DESC NULLS LAST, page_rank DESC NULLS LAST, churn30d DESC NULLS LAST, fan_out DESC NULLS LAST, k_core DESC NULLS LAST) = 1)",
     "cal": "SELECT DISTINCT ON (call_id) * EXCLUDE (loaded_at) FROM expected_calls",
     "run": f"SELECT run_id, session_id, ts, agent, {_F.format(_DASHED)} AS variant, {_F.format('category')} AS category, task_id, repo_id, status, CASE WHEN duration_ms > 0 THEN duration_ms END AS duration_ms, wall_ms, tokens.input_count AS input_count, tokens.output_count AS output_count, tokens.total AS total, tokens.saved AS saved, CASE WHEN NOT isnan(tokens.savings_percent) THEN tokens.savings_percent END AS savings_percent FROM (SELECT DISTINCT ON (run_id) * FROM session_records)",
     "ver": "SELECT version_id, symbol_id, ast_fingerprint, signature_json, summary, ingested_at, row_id FROM symbol_versions WHERE version_id IS NOT NULL AND symbol_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY version_id, symbol_id ORDER BY ingested_at DESC NULLS LAST, row_id DESC) = 1",
