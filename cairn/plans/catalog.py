@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregation, integrity, relational
+from . import aggregation, graphs, integrity, relational
 from .registry import Query
 
-_MODULES = (integrity, relational, aggregation)
+_MODULES = (integrity, relational, aggregation, graphs)
 
 
 def queries() -> dict[str, Query]:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,25 +26,43 @@ def local_session(cores: int = 8, shuffle: int = 8, app: str = "cairn") -> Spark
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in ``spark.checkpoint.dir``; choose a temporary one only where none is set.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is set.
 
-    The temporary folder is local to the machine, so it is only taken with a local master; a
+    A temporary folder is local to the machine, so it is only taken with a local master; a
     cluster has to name a shared folder.
     """
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isEmpty():
-        return
     shared = sc.getConf().get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-
-
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of ``df`` with a checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+    if not shared:
+        set_before = sc._jsc.sc().getCheckpointDir()
+        shared = set_before.get() if not set_before.isEmpty() else _local.get(sc.applicationId)
+    if not shared:
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = _local[sc.applicationId] = tempfile.mkdtemp(prefix="cairn-cut-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    return shared
+
+
+_local: dict[str, str] = {}
+_marked: set[str] = set()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df``: write it as a table in the shared folder and read it back.
+
+    The next plan starts from files on storage that outlives executors, with their true sizes;
+    a checkpoint would keep the size estimates of the old plan, which multiply in a loop of
+    joins. The folder goes when the session ends.
+    """
+    spark = df.sparkSession
+    root = f"{shared_folder(spark)}/cairn-{spark.sparkContext.applicationId}"
+    if root not in _marked:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _marked.add(root)
+    out = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return spark.read.schema(df.schema).parquet(out)
