@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregation, graphs, integrity, relational
+from . import aggregation, changes, graphs, integrity, relational, search
 from .registry import Query
 
-_MODULES = (integrity, relational, aggregation, graphs)
+_MODULES = (integrity, relational, aggregation, graphs, search, changes)
 
 
 def queries() -> dict[str, Query]:
