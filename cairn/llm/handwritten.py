@@ -53,7 +53,7 @@ MADE_NAME = re.compile(
 SMALL_NAME = re.compile(r"([._-]min|\.umd|\.bundle|[._-]bundle|\.chunk|\.prod(uction)?|\.packed?|-debug\.min)\.(m?js|cjs|css)$|\.[0-9a-f]{8,32}\.(m?js|cjs|css)$|^vendors?~")
 LOCK_NAME = re.compile(r"^(package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|cargo\.lock|poetry\.lock|pipfile\.lock|composer\.lock|gemfile\.lock|go\.sum|flake\.lock|packages\.lock\.json|bun\.lockb?)$")
 _PACKAGE = re.compile(r"^@?[a-z][a-z0-9_.-]*[-_@]v?\d+(\.\d+)+[a-z0-9.-]*$")
-_COMMENT = re.compile(r"^\s*(//+!?|#+!?|/\*+!?|\*+|--+|;+|%+|<!--|'|rem\b|\"\"\"|''')\s*")
+_COMMENT = re.compile(r"\s*(//+!?|#+!?|/\*+!?|\*+|--+|;+|%+|<!--|'|rem\b|\"\"\"|''')\s*")
 #: A file of this many bytes without readable first lines holds data.
 DATA_BYTES = 500_000
 
@@ -79,9 +79,13 @@ def has_notice(head: str, automaton: ahocorasick.Automaton) -> bool:
     for end, (word, opening) in automaton.iter(low):
         first = low.rfind("\n", 0, end - len(word) + 1) + 1
         mark = _COMMENT.match(low, first)
-        if not mark:
+        if mark:
+            begin = mark.end()
+        elif low.rfind("/*", 0, first) > low.rfind("*/", 0, first) or low.rfind("<!--", 0, first) > low.rfind("-->", 0, first):
+            begin = first  # a line inside a block comment
+        else:
             continue
-        before = low[mark.end() : end - len(word) + 1].strip(" \t*#-/!<")
+        before = low[begin : end - len(word) + 1].strip(" \t*#-/!<")
         if not opening or not before or (edit >= 0 and before in ("this file", "this code", "file")):
             return True
     return False
