@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +29,31 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
     return df.withColumn(at, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(at) <= n)
 
 
-def ordered_digest(df: DataFrame, group: str, key: str, value: str, before: Column) -> DataFrame:
-    """sha256 over the values of a group in key order, chained to ``before`` (null: ``none``)."""
-    values = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, F.coalesce(value, F.lit("")).alias("_v")))), lambda x: x["_v"]), "|")
-    return df.groupBy(group).agg(values.alias("_all"), F.first(before, ignorenulls=True).alias("_before")).select(group, F.sha2(F.concat(F.coalesce("_before", F.lit("none")), F.lit(":"), "_all"), 256).alias("digest"))
+def ordered_digest(df: DataFrame, group: str, key: str, value: str, before: str) -> DataFrame:
+    """``group`` and ``digest``: sha256 over the values in key order joined by ``|``, chained to ``before`` (null: ``none``).
+
+    The digest is sequential by definition; a group's rows come sorted and are hashed as they
+    stream by, so its size is not bounded by memory. Null values count as empty text.
+    """
+    kind = dict(df.dtypes)[group]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, h, done = None, None, []
+        for b in batches:
+            for g, prev, v in zip(*(b.column(i).to_pylist() for i in (0, 2, 3))):
+                if h is None or g != name:
+                    if h is not None:
+                        done.append((name, h.hexdigest()))
+                    name, h, sep = g, hashlib.sha256(f"{prev or 'none'}:".encode()), b""
+                h.update(sep + (v or "").encode())
+                sep = b"|"
+        if h is not None:
+            done.append((name, h.hexdigest()))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*done)], names=[group, "digest"])
+
+    rows = df.where(F.col(group).isNotNull()).select(group, key, before, F.col(value).cast("string").alias("_v"))
+    return rows.repartition(group).sortWithinPartitions(group, key).mapInArrow(run, f"`{group}` {kind}, digest string")
 
 
 def smoothed(df: DataFrame, keys: list[str], value: str) -> DataFrame:

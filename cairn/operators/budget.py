@@ -47,16 +47,19 @@ def token_prefix(items: DataFrame, group: list[str], order: list, size: str, bud
     return items.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
 
 
-def beam_slices(edges: DataFrame, seeds: DataFrame, scores: DataFrame, part: str, *, max_cards: int = 60, threshold: float = 0.2, frontier: int = 1000) -> DataFrame:
+def beam_slices(edges: DataFrame, seeds: DataFrame, scores: DataFrame, part: str, *, max_cards: int = 60, threshold: float = 0.2, frontier: int = 1000, most_edges: int = 2_000_000) -> DataFrame:
     """Best-first slices from each seed: seed, id, pos, score.
 
     A node's priority is its own score (0..1) times the strength of the edge that reached it
     times .8 for each further step; what falls below the threshold is not followed, the
     frontier keeps its best, and a slice ends at ``max_cards``. Each part's adjacency lies in
-    one task, since the order depends on what was taken before.
+    one task, since the order depends on what was taken before; a part over ``most_edges``
+    edges is refused by an error that names it.
     """
 
     def run(key: tuple, e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        if len(e) > most_edges:
+            raise ValueError(f"{part} {key[0]} has {len(e)} edges, more than {most_edges}")
         out: dict[str, list[tuple[str, float]]] = {}
         for a, b, w in zip(e["src"], e["dst"], e["w"]):
             out.setdefault(a, []).append((b, w))

@@ -68,12 +68,13 @@ def change_risk(delta: DataFrame, impact: DataFrame) -> DataFrame:
     return both.select(F.when(weight > 0, F.least(F.lit(100.0), half_up(total / weight))).otherwise(0.0).cast("bigint").alias("risk"))
 
 
-def match_symbols(old: DataFrame, new: DataFrame) -> DataFrame:
+def match_symbols(old: DataFrame, new: DataFrame, most_pairs: int = 4_000_000) -> DataFrame:
     """old_id, new_id, how (``name`` or ``overlap``) of symbols that are the same before and after an edit.
 
     Both: id, file_id, name, kind, lo, hi. A name and kind that is alone on both sides matches;
     of ambiguous ones the pairs match in order of overlap (then distance, then ids), each
-    symbol once. The sequential part runs for each (file, name, kind) on its own.
+    symbol once. The sequential part runs for each (file, name, kind) on its own; one with more
+    than ``most_pairs`` pairs is refused by an error that names it.
     """
     import pandas as pd
 
@@ -82,6 +83,8 @@ def match_symbols(old: DataFrame, new: DataFrame) -> DataFrame:
     b = new.select(*key, F.col("id").alias("new_id"), F.col("lo").alias("nlo"), F.col("hi").alias("nhi"))
 
     def match(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if len(p) * len(q) > most_pairs:
+            raise ValueError(f"{p['name'].iat[0]} is in file {p['file_id'].iat[0]} {len(p)} and {len(q)} times")
         how = "name" if len(p) == len(q) == 1 else "overlap"
         pairs = sorted((-max(0, min(x.ohi, y.nhi) - max(x.olo, y.nlo) + 1), abs(x.olo - y.nlo), x.old_id, y.new_id) for x in p.itertuples() for y in q.itertuples())
         used, got, rows = set(), set(), []

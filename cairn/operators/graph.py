@@ -256,13 +256,16 @@ def spread_labels(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return state
 
 
-def trace_flows(edges: DataFrame, entries: DataFrame, part: str, max_depth: int = 20) -> DataFrame:
+def trace_flows(edges: DataFrame, entries: DataFrame, part: str, max_depth: int = 20, most_edges: int = 2_000_000) -> DataFrame:
     """Depth-first preorder from each entry over sorted callees, within its part: entry, id, step, depth.
 
-    The order depends on what was visited before, so a part's adjacency lies in one task.
+    The order depends on what was visited before, so a part's adjacency lies in one task; a
+    part over ``most_edges`` distinct edges is refused by an error that names it.
     """
 
     def run(key: tuple, e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        if len(e) > most_edges:
+            raise ValueError(f"{part} {key[0]} has {len(e)} edges, more than {most_edges}")
         out: dict[str, list[str]] = {}
         for a, b in sorted(set(zip(e["src"], e["dst"]))):
             out.setdefault(a, []).append(b)
@@ -279,4 +282,4 @@ def trace_flows(edges: DataFrame, entries: DataFrame, part: str, max_depth: int
                 stack.extend((y, d + 1) for y in reversed(out.get(x, ())))
         return pd.DataFrame(rows, columns=["entry", "id", "step", "depth"])
 
-    return edges.select(part, "src", "dst").groupBy(part).cogroup(entries.select(part, "id").groupBy(part)).applyInPandas(run, "entry string, id string, step int, depth int")
+    return edges.select(part, "src", "dst").distinct().groupBy(part).cogroup(entries.select(part, "id").groupBy(part)).applyInPandas(run, "entry string, id string, step int, depth int")

@@ -301,7 +301,7 @@ def version_hashes(spark: SparkSession, root: str) -> DataFrame:
     """Chained digest over the fingerprints of each snapshot in symbol order."""
     v = table(spark, root, "versions").select("version_id", "prev_version_hash")
     r = G.versions(spark, root).select("version_id", "symbol_id", "ast_fingerprint").join(v, "version_id")
-    return A.ordered_digest(r, "version_id", "symbol_id", "ast_fingerprint", F.col("prev_version_hash"))
+    return A.ordered_digest(r, "version_id", "symbol_id", "ast_fingerprint", "prev_version_hash")
 
 
 @_add("top_fan_in", sql("met", "SELECT id, fan_in FROM met ORDER BY fan_in DESC, id LIMIT 10"))

@@ -275,11 +275,11 @@ def steps_after(spark: SparkSession, root: str) -> DataFrame:
     return J.later_steps(_steps(spark, root), starts, "process_id", "item", "step")
 
 
-@_add("process_flow", f"WITH {_STEPS} SELECT process_id, CAST(count(*) AS BIGINT) AS steps, string_agg(CAST(item AS VARCHAR), '>' ORDER BY step, item) AS flow FROM steps GROUP BY 1")
+@_add("process_flow", f"WITH {_STEPS} SELECT process_id, item, CAST(row_number() OVER (PARTITION BY process_id ORDER BY step, item) AS INT) AS pos FROM steps")
 def process_flow(spark: SparkSession, root: str) -> DataFrame:
-    """Each process as its ordered items."""
-    flow = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "item"))), lambda x: x["item"].cast("string")), ">")
-    return _steps(spark, root).groupBy("process_id").agg(F.count(F.lit(1)).alias("steps"), flow.alias("flow"))
+    """Each process as its items in order."""
+    w = Window.partitionBy("process_id").orderBy("step", "item")
+    return _steps(spark, root).select("process_id", "item", F.row_number().over(w).alias("pos"))
 
 
 _SPANS = "spans AS (SELECT file_id, symbol_id, range_start_line AS lo, range_end_line AS hi FROM sym WHERE file_id IS NOT NULL AND range_end_line >= range_start_line), probes AS (SELECT DISTINCT f.file_id, c.start_line AS line FROM cal c JOIN fil f ON f.repo_id = c.repo_id AND f.path = split_part(c.caller_node_id, ':', 1))"
