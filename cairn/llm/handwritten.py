@@ -113,7 +113,7 @@ def looks_minified(head: str) -> bool:
     names = re.findall(r"[A-Za-z_$][\w$]*", longest)
     short = sum(len(x) == 1 for x in names)
     space = sum(c.isspace() for c in longest) / len(longest)
-    return space < 0.12 and short >= 0.5 * max(1, len(names)) and bool(re.search(r"[;,}]", longest))
+    return space < 0.12 and len(names) >= 8 and short >= 0.5 * len(names) and bool(re.search(r"[;,}]", longest))
 
 
 def file_kind(path: str | None, size: int | None, head: str | None, automaton: ahocorasick.Automaton) -> str | None:

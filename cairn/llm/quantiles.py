@@ -5,7 +5,7 @@ sorted and every other item, from a random start, moves up; so sketches of parts
 level by level. Capacities shrink by ``SHRINK`` from the top level down, which keeps the rank
 error of any quantile below ``rank_error(k)`` with probability 0.99.
 
-The start of each compaction is drawn from a generator seeded by the group, the part and the
+The start of each compaction is drawn from a sequence seeded by the group, the part and the
 number of values, so a task that runs again gives the same sketch.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 #: Capacity of a level as a share of the one above it, and the smallest capacity.
 SHRINK, LEAST = 2 / 3, 8
+_WORD = (1 << 64) - 1
 
 
 def rank_error(k: int) -> float:
@@ -32,12 +33,20 @@ def rank_error(k: int) -> float:
 class Sketch:
     """Compactor hierarchy over float64 values."""
 
+    __slots__ = ("high", "k", "levels", "low", "n", "state")
+
     def __init__(self, k: int, seed: int):
-        self.k, self.n = k, 0
+        self.k, self.n, self.state = k, 0, seed
         self.levels: list[np.ndarray] = [np.empty(0)]
-        self.random = np.random.Generator(np.random.PCG64(seed))
         self.low, self.high = math.inf, -math.inf
 
+    def _coin(self) -> int:
+        """A random bit, from a 64-bit counter that is mixed: a few bytes a sketch."""
+        self.state = (self.state + 0x9E3779B97F4A7C15) & _WORD
+        x = ((self.state ^ (self.state >> 30)) * 0xBF58476D1CE4E5B9) & _WORD
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _WORD
+        return (x ^ (x >> 31)) >> 63
+
     def _capacity(self, level: int) -> int:
         return max(LEAST, math.ceil(self.k * SHRINK ** (len(self.levels) - 1 - level)))
 
@@ -50,8 +59,8 @@ class Sketch:
                 x = np.sort(x)
                 odd = x[:0]
                 if len(x) % 2:  # the extra item stays; its side is random, so that no end is favoured
-                    odd, x = (x[-1:], x[:-1]) if self.random.integers(2) else (x[:1], x[1:])
-                up = x[self.random.integers(2) :: 2]
+                    odd, x = (x[-1:], x[:-1]) if self._coin() else (x[:1], x[1:])
+                up = x[self._coin() :: 2]
                 self.levels[h] = odd
                 if h + 1 == len(self.levels):
                     self.levels.append(np.empty(0))
