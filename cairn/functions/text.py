@@ -164,11 +164,11 @@ def encode_target(prefix: str, name: Column) -> Column:
     return F.concat(F.lit(prefix), F.regexp_replace(F.translate(F.base64(F.encode(name, "UTF-8")), "+/", "-_"), "=+$|[\r\n]", ""))
 
 
-def decode_target(target: Column) -> Column:
-    """The name behind the last ``__`` or ``:`` of an unresolved target, null if it is none."""
-    code = F.translate(F.regexp_extract(target, r"(?:__|:)([A-Za-z0-9_-]+)$", 1), "-_", "+/")
-    padded = F.concat(code, F.substring(F.lit("==="), F.lit(1), F.pmod(-F.length(code), F.lit(4)).cast("int")))
-    return F.when(F.startswith(target, F.lit("unresolved:call:")), F.try_to_binary(padded, F.lit("base64")).cast("string"))
+def decode_target(prefix: str, target: Column) -> Column:
+    """The name behind an unresolved target of ``encode_target``, null if it has another prefix or is none."""
+    code = F.translate(F.substring(target, len(prefix) + 1, 1 << 30), "-_", "+/")
+    padded = F.rpad(code, (F.ceil(F.length(code) / 4) * 4).cast("int"), F.lit("="))
+    return F.when(F.startswith(target, F.lit(prefix)), F.try_to_binary(padded, F.lit("base64")).cast("string"))
 
 
 def duration_text(ms: Column) -> Column:

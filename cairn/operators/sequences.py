@@ -20,10 +20,10 @@ def ewma(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0
     # Within a block a value of place i weighs alpha * (1 - alpha) ** (size - i); the seed has weight 1 instead of alpha.
     sized = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(key, "_b"))).withColumn("_i", F.col("_n") - F.col("_b") * block)
     weight = F.when(F.col("_n") == 1, 1.0).otherwise(alpha) * F.pow(F.lit(1 - alpha), (F.col("_size") - F.col("_i")).cast("double"))
-    part = sized.groupBy(key, "_b").agg(F.sum(weight * F.col("_v")).alias("s"), F.first("_size").alias("k"))
-    later = F.coalesce(F.sum("k").over(Window.partitionBy(key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = sized.groupBy(key, "_b").agg(F.sum(weight * F.col("_v")).alias("_sum"), F.first("_size").alias("_k"))
+    later = F.coalesce(F.sum("_k").over(Window.partitionBy(key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = part.withColumn("_later", later)
-    return out.groupBy(key).agg(F.sum("k").alias("n"), F.sum(F.col("s") * F.pow(F.lit(1 - alpha), F.col("_later").cast("double"))).alias("ewma"))
+    return out.groupBy(key).agg(F.sum("_k").alias("n"), F.sum(F.col("_sum") * F.pow(F.lit(1 - alpha), F.col("_later").cast("double"))).alias("ewma"))
 
 
 def last_n(order: list, n: int, by: list[str] | None = None):

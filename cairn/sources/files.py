@@ -39,7 +39,7 @@ def read_notes(spark: SparkSession, root: str) -> DataFrame:
 
     A file without front matter has an empty map; lines of it without a colon are ignored.
     """
-    t = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root)
+    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True)
     head = F.regexp_extract("value", r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?", 1)
     pairs = F.transform(F.filter(F.split(head, r"\r?\n"), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.trim(F.split(x, ":")[0]).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
     first = F.filter(pairs, lambda p: p["k"] != "")

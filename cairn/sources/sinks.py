@@ -94,7 +94,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 def publish(tables: dict[str, DataFrame], path: str, checks: dict[str, Column] | None = None) -> str:
-    """Write all tables into a new version folder, audit them, then point ``_current`` at it.
+    """Write all tables into a new version folder, audit them, then point ``current.json`` at it.
 
     ``checks``: for a table a condition that every row has to satisfy; a failure removes the
     new version and raises, and the old one stays current.
@@ -112,11 +112,11 @@ def publish(tables: dict[str, DataFrame], path: str, checks: dict[str, Column] |
         p, fs = _fs(spark, home)
         fs.delete(p, True)
         raise
-    p, fs = _fs(spark, f"{path}/_next-{version}")
+    p, fs = _fs(spark, f"{path}/next-{version}.json")
     stream = fs.create(p)
     stream.write(bytearray(json.dumps({"version": version, "schema": 1}).encode()))
     stream.close()
-    target, _ = _fs(spark, f"{path}/_current")
+    target, _ = _fs(spark, f"{path}/current.json")
     if fs.exists(target):
         fs.delete(target, False)
     fs.rename(p, target)
@@ -125,7 +125,7 @@ def publish(tables: dict[str, DataFrame], path: str, checks: dict[str, Column] |
 
 def current(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table of the version that is current."""
-    text = spark.read.option("wholetext", "true").text(f"{path}/[_]current").first()[0]
+    text = spark.read.text(f"{path}/current.json", wholetext=True).first()[0]
     return spark.read.parquet(f"{path}/{json.loads(text)['version']}/{name}")
 
 

@@ -26,7 +26,8 @@ def test_text(spark):
     assert [one(spark, x, T.fnv1a32) for x in ("", "a", "foobar")] == [0x811C9DC5, 0xE40C292C, 0xBF9CF968]
     assert [one(spark, x, T.duration_text, "bigint") for x in (900, 61_000, 3_660_000, 90_000_000)] == ["0s", "1m 1s", "1h 1m", "1d 1h"]
     assert one(spark, "see Foo.bar and load_all plus parseIt now", T.identifiers) == ["Foo.bar", "load_all", "parseIt"]
-    assert one(spark, "mergeFrame70", lambda c: T.decode_target(T.encode_target("unresolved:call:__x__", c))) == "mergeFrame70"
+    assert one(spark, "mergeFrame70", lambda c: T.decode_target("unresolved:call:", T.encode_target("unresolved:call:", c))) == "mergeFrame70"
+    assert one(spark, "other:bWVy", lambda c: T.decode_target("unresolved:call:", c)) is None
 
 
 def test_redaction(spark):
