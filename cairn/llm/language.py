@@ -15,6 +15,7 @@ label, training only); every document is then read whole.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -55,7 +56,7 @@ def label_code(label: str | None) -> str | None:
     return NAMES.get(low) or NAMES.get(regex.split(r"[-_]", low)[0])
 
 
-_MASK = regex.compile(
+_MASK = re.compile(
     r"""
     ^[ \t>]*(?P<f>```|~~~)(?:.*?)(?:^[ \t>]*(?P=f)[ \t]*$|\Z)  # fenced blocks
   | (?P<g>```|~~~).*?(?:(?P=g)|\Z)
@@ -65,20 +66,28 @@ _MASK = regex.compile(
   | ^[ \t]*\[?(?:\d{4}-\d\d-\d\d[T ])?\d{1,2}:\d\d:\d\d[^\n]*$  # log lines
   | ^[ \t]*(?:at\s+\S+\(|File\s|Traceback|[\[{}\]])[^\n]*$
   | ^[ \t]*[a-z]{2,9}(?:\([^()\n]{1,40}\))?!?:(?=[ \t])  # commit kinds
-  | https?://[!-~]+
-  | [!-~]*[/\\_@=][!-~]*(?<![.!?,;:])  # paths, names with _
-  | [!-~]*\w\.[A-Za-z_][!-~]*(?<![.!?,;:])  # members, file names
-  | [!-~]*\w\(\)[!-~]*(?<![.!?,;:])
-  | [A-Za-z]*[a-z][A-Z][A-Za-z]*\d*  # camel case
-  | [A-Za-z]*\d[\w]*
+  | (?P<run>[!#-;=-_a-~]+)  # a run without quotes, ticks and opening angles: code or not
     """,
-    regex.X | regex.M | regex.S,
+    re.X | re.M | re.S,
 )
-_SPLIT = regex.compile(r"[^.!?。！？\n\r\u2028\u2029]+(?:[.!?]+(?!\s|$)[^.!?。！？\n\r\u2028\u2029]*)*[.!?。！？]*")
-_WORD = regex.compile(r"[^\W\d_]+")
+#: Paths, names with _, members, calls, camel case and digits.
+_CODE = re.compile(r"[/\\_@=]|\w\.[A-Za-z_]|\w\(\)|[a-z][A-Z]|\d")
+
+
+def _blank(m) -> str:
+    """Spaces for what is no prose; the stop at a run's end stays."""
+    text = m[0]
+    if m.lastgroup != "run":
+        return " " * len(text)
+    core = text.rstrip(".!?,;:")
+    return " " * len(core) + text[len(core) :] if _CODE.search(core) else text
+
+
+_SPLIT = re.compile(r"[^.!?。！？\n\r\u2028\u2029]+(?:[.!?]+(?!\s|$)[^.!?。！？\n\r\u2028\u2029]*)*[.!?。！？]*")
+_WORD = re.compile(r"[^\W\d_]+")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
-_DAMAGE = regex.compile(r"[\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{1,3}")
-_WIDE = regex.compile(r"[\uff01-\uff9f]+")
+_DAMAGE = re.compile(r"[\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{1,3}")
+_WIDE = re.compile(r"[\uff01-\uff9f]+")
 _SKIP = regex.compile(r"[\p{M}\p{Cf}\p{Cc}]+")
 _FOLD = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ı": "i", "’": "'"})
 
@@ -106,7 +115,7 @@ def fold(text: str) -> str:
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """Start, end and folded words of each sentence of prose in ``text``."""
-    masked = _MASK.sub(lambda m: " " * len(m[0]), text)
+    masked = _MASK.sub(_blank, text)
     out = []
     for m in _SPLIT.finditer(masked):
         found = _WORD.findall(fold(m[0]))
