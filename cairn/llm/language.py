@@ -139,12 +139,16 @@ def word_features(word: str) -> np.ndarray:
 
 
 def codewords(count: int, bits: int = BITS, tries: int = 4000) -> np.ndarray:
-    """``count`` codewords of +1 and -1, of the tried ones those with the largest least distance."""
+    """``count`` codewords of +1 and -1, of the tried ones those with the largest least distance.
+
+    Every bit splits the languages, so each has something to learn (one language has no split).
+    """
     random, best, best_score = np.random.default_rng(11), None, -1.0
     for _ in range(tries if count > 1 else 1):
         code = np.where(random.random((count, bits)) < 0.5, -1, 1)
-        if count > 1 and (np.abs(code.sum(0)) == count).any():
-            continue
+        if count > 1:
+            flat = np.flatnonzero(np.abs(code.sum(0)) == count)
+            code[random.integers(count, size=len(flat)), flat] *= -1
         dist = (bits - code @ code.T) / 2
         score = dist[~np.eye(count, dtype=bool)].min() if count > 1 else 0
         if score > best_score:

@@ -31,6 +31,13 @@ def test_codewords_are_far_apart():
     code = L.codewords(11)
     d = (L.BITS - code @ code.T) / 2
     assert d[~np.eye(11, dtype=bool)].min() >= 9 and not (np.abs(code.sum(0)) == 11).any()
+    assert L.codewords(2).shape == (2, L.BITS) and (L.codewords(2).sum(0) == 0).all() and L.codewords(1).shape == (1, L.BITS)
+
+
+def test_few_languages():
+    one = L.train([("the list is read twice here", "en")] * 20)
+    assert one.langs == ["en"] and [x[3] for x in L.document_segments("nobody knows why it is so", one)] == ["en"]
+    assert L.train([("the list is read twice here", "en")] * 3) is None and L.train([]) is None
 
 
 def test_a_few_wrong_bits_do_no_harm(model):
