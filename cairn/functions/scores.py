@@ -115,3 +115,8 @@ def impact_rank(distance: Column, hops: int, fan_in: Column, is_test: Column) ->
     """Rank of a dependent: near, much used, a test."""
     near = F.greatest(F.lit(0.0), 1 - distance / float(hops))
     return clamp(0.6 * near + 0.3 * F.least(F.lit(1.0), F.log(fan_in + 1.0) / math.log(100)) + 0.1 * F.when(is_test, 1.0).otherwise(0.0))
+
+
+def adaptive_confidence(least: Column, used: Column) -> Column:
+    """The least confidence of an edge, raised to .8 and .95 as more than .7 and .9 of a budget is used."""
+    return F.when(used > 0.9, F.greatest(least, F.lit(0.95))).when(used > 0.7, F.greatest(least, F.lit(0.8))).otherwise(least)

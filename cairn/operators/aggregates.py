@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def floor_percentiles(df: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:
     """Percentiles by floor index: the value at place floor(p * n) of the sorted values.
@@ -62,3 +64,17 @@ def smoothed(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     s = s.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "sd")
     out = (F.col(value) < F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) | (F.col(value) > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     return df.join(s, keys).groupBy(*keys, "q1", "median", "q3", "sd").agg(F.count_if(out).alias("outliers"))
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with each row's 1-based place in the order, which has to be total.
+
+    Rows are range-partitioned, counted by partition and numbered within it, so the order of a
+    large table is not made in one task.
+    """
+    # Written once: the bounds of a range partitioning are sampled, so a second run may cut elsewhere.
+    d = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    d = d.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    base = d.groupBy("_p").count().withColumn("_base", F.coalesce(before, F.lit(0))).select("_p", "_base")
+    return d.join(F.broadcast(base), "_p").withColumn(name, F.col("_base") + F.col("_i") + 1).drop("_m", "_p", "_i", "_base")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, held
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, hops: int, *, direction: str = "in") -> DataFrame:
@@ -72,11 +72,11 @@ def shortest_lengths(edges: DataFrame, pairs: DataFrame, hops: int) -> DataFrame
     return want.join(seen.select("a", F.col("node").alias("b"), "n"), ["a", "b"], "left")
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
+def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
     """``id`` and ``score`` after a fixed number of rounds; scores sum to 1.
 
     Repeated edges count, edges with an end outside ``nodes`` do not, and what ends in nodes
-    without outgoing edges is spread over all.
+    without outgoing edges is spread over all. A round shuffles the scores, not the edges.
     """
     nodes = cut(nodes.select("id").where("id is not null").distinct())
     n = nodes.count()
@@ -86,16 +86,14 @@ def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
     counted = inner.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k"))
     out = counted.groupBy("src").agg(F.sum("k").alias("out"))
     share = cut(counted.join(out, "src").select(F.col("src").alias("id"), "dst", (F.col("k") / F.col("out")).alias("share")))
-    state = nodes.join(out.select(F.col("src").alias("id"), F.lit(True).alias("sends")), "id", "left").select("id", F.coalesce("sends", F.lit(False)).alias("sends"), F.lit(1.0 / n).alias("score"))
-    state = cut(state)
-    for i in range(iterations):
-        got = share.join(state.select("id", "score"), "id").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        lost = state.agg(F.coalesce(F.sum(F.when(~F.col("sends"), F.col("score"))), F.lit(0.0)).alias("lost"))
-        score = (1 - damping) / n + damping * F.coalesce("got", F.lit(0.0)) + damping * F.col("lost") / n
-        state = state.join(got, "id", "left").crossJoin(F.broadcast(lost)).select("id", "sends", score.alias("score"))
-        if i % every == every - 1 or i == iterations - 1:
-            state = cut(state)
-    return state.select("id", "score")
+    state = nodes.withColumn("score", F.lit(1.0 / n))
+    with held(share, "id") as share:
+        for _ in range(iterations):
+            got = cut(share.join(state, "id").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got")))
+            # What the senders sent arrived; the rest of the total of 1 lay in dangling nodes.
+            lost = 1 - (got.agg(F.sum("got")).first()[0] or 0.0)
+            state = nodes.join(got, "id", "left").select("id", ((1 - damping + damping * lost) / n + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+        return cut(state)
 
 
 def k_core(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
@@ -107,30 +105,27 @@ def k_core(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     """
     nodes = nodes.select("id").where("id is not null").distinct()
     inner = edges.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").where("src <> dst")
-    both = inner.select("src", "dst").unionByName(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = cut(both)
+    both = cut(inner.select("src", "dst").unionByName(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     state = cut(both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("h")))
-    for _ in range(most):
-        # Counts of neighbour bounds, capped at the own bound: h of a node needs only a histogram.
-        near = both.join(state.select(F.col("id").alias("dst"), F.col("h").alias("nh")), "dst").join(state.select(F.col("id").alias("src"), "h"), "src")
-        hist = near.groupBy("src", "h", F.least("nh", "h").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-        # Walk a node's bounds downwards: the first b with at least b neighbours at or above it.
-        fold = F.aggregate(
-            F.reverse(F.array_sort(F.collect_list(F.struct("b", "c")))),
-            F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0).cast("bigint").alias("best")),
-            lambda acc, x: F.struct((acc["seen"] + x["c"]).alias("seen"), F.greatest(acc["best"], F.least(x["b"], acc["seen"] + x["c"])).alias("best")),
-        )
-        new = cut(hist.groupBy(F.col("src").alias("id"), "h").agg(fold["best"].alias("best")))
-        moved = not new.where("best <> h").isEmpty()
-        state = new.select("id", F.col("best").alias("h"))
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"coreness did not settle in {most} rounds")
+    zero = F.lit(0).cast("bigint")
+    with held(both, "dst") as both:
+        for _ in range(most):
+            # A node needs only the histogram of its neighbours' bounds, capped at its own.
+            near = both.join(state.select(F.col("id").alias("dst"), F.col("h").alias("b")), "dst").groupBy("src", "b").agg(F.count(F.lit(1)).alias("c"))
+            hist = near.groupBy(F.col("src").alias("id")).agg(F.reverse(F.array_sort(F.collect_list(F.struct("b", "c")))).alias("hist"))
+            # Walked downwards: the largest b that at least b neighbours reach.
+            best = F.aggregate("hist", F.struct(zero.alias("seen"), zero.alias("best")), lambda acc, x: F.struct((acc["seen"] + x["c"]).alias("seen"), F.greatest(acc["best"], F.least(x["b"], acc["seen"] + x["c"])).alias("best")))
+            new = cut(hist.join(state, "id").select("id", "h", F.least("h", best["best"]).alias("best")))
+            moved = not new.where("best <> h").isEmpty()
+            state = new.select("id", F.col("best").alias("h"))
+            if not moved:
+                break
+        else:
+            raise RuntimeError(f"coreness did not settle in {most} rounds")
     return nodes.join(state, "id", "left").select("id", F.coalesce("h", F.lit(0)).alias("coreness"))
 
 
-def personal_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, iterations: int = 10, every: int = 5) -> DataFrame:
+def personal_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, iterations: int = 10) -> DataFrame:
     """``id`` and ``score`` of a walk that restarts at the seeds with probability ``alpha``.
 
     ``edges``: src, dst, w; rows are normalised by source. ``seeds``: id, weight (sum 1). Fixed
@@ -139,15 +134,13 @@ def personal_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, itera
     e = edges.where("w > 0 and src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
     total = e.groupBy("src").agg(F.sum("w").alias("t"))
     share = cut(e.join(total, "src").select(F.col("src").alias("id"), "dst", (F.col("w") / F.col("t")).alias("share")))
-    seeds = cut(seeds.groupBy("id").agg(F.sum("weight").alias("weight")))
-    mass, score = seeds.select("id", F.col("weight").alias("r")), None
-    for i in range(iterations):
-        kept = mass.select("id", (alpha * F.col("r")).alias("p"))
-        score = kept if score is None else score.unionByName(kept).groupBy("id").agg(F.sum("p").alias("p"))
-        mass = share.join(mass, "id").groupBy(F.col("dst").alias("id")).agg(F.sum((1 - alpha) * F.col("r") * F.col("share")).alias("r"))
-        if i % every == every - 1:
-            mass, score = cut(mass), cut(score)
-    return score.select("id", F.col("p").alias("score"))
+    mass = cut(seeds.groupBy("id").agg(F.sum("weight").alias("r")))
+    kept = mass
+    with held(share, "id") as share:
+        for _ in range(iterations - 1):
+            mass = cut(share.join(mass, "id").groupBy(F.col("dst").alias("id")).agg(F.sum((1 - alpha) * F.col("r") * F.col("share")).alias("r")))
+            kept = kept.unionByName(mass)
+    return kept.groupBy("id").agg(F.sum(alpha * F.col("r")).alias("score"))
 
 
 def weighted_adjacency(edges: DataFrame, reverse: float = 0.5) -> DataFrame:
@@ -250,10 +243,11 @@ def spread_labels(edges: DataFrame, rounds: int = 5) -> DataFrame:
     e = edges.where("src <> dst").select("src", "dst")
     both = cut(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     state = both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
-    for _ in range(rounds):
-        votes = both.join(state.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("c"))
-        state = cut(votes.groupBy(F.col("src").alias("id")).agg(F.min(F.struct((-F.col("c")).alias("c"), "label")).alias("m")).select("id", F.col("m.label").alias("label")))
-    return state
+    with held(both, "dst") as both:
+        for _ in range(rounds):
+            votes = both.join(state.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("c"))
+            state = cut(votes.groupBy(F.col("src").alias("id")).agg(F.min(F.struct((-F.col("c")).alias("c"), "label")).alias("m")).select("id", F.col("m.label").alias("label")))
+        return state
 
 
 def trace_flows(edges: DataFrame, entries: DataFrame, part: str, max_depth: int = 20, most_edges: int = 2_000_000) -> DataFrame:

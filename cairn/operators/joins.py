@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import numbered
+
 
 def one_hop(edges: DataFrame, ids: DataFrame, direction: str = "out") -> DataFrame:
     """Distinct (id, neighbor) of the ids along edges ``out``, ``in`` or ``both`` ways."""
@@ -82,14 +84,9 @@ def overlay_edges(durable: DataFrame, overlay: DataFrame, touched: DataFrame, ke
 def encode_ids(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with ends replaced by the 0-based place of their id in sorted order.
 
-    Places are given without bringing all ids to one task: ids are range-partitioned, counted
-    by partition, and numbered within it.
+    Places are given without bringing all ids to one task; null ends have none.
     """
-    one = ids.select("id").distinct().repartitionByRange("id").sortWithinPartitions("id").withColumn("_m", F.monotonically_increasing_id())
-    one = one.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = one.groupBy("_p").count()
-    base = sizes.withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_base")
-    place = one.join(F.broadcast(base), "_p").select("id", (F.col("_base") + F.col("_i")).alias("at"))
+    place = numbered(ids.select("id").where("id is not null").distinct(), ["id"], "at").select("id", (F.col("at") - 1).alias("at"))
     a, b = place.select(F.col("id").alias("src"), F.col("at").alias("from_index")), place.select(F.col("id").alias("dst"), F.col("at").alias("to_index"))
     return edges.join(a, "src").join(b, "dst")
 

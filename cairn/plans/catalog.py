@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregation, changes, graphs, integrity, relational, search
+from . import aggregation, changes, context, graphs, integrity, relational, search
 from .registry import Query
 
-_MODULES = (integrity, relational, aggregation, graphs, search, changes)
+_MODULES = (integrity, relational, aggregation, graphs, search, changes, context)
 
 
 def queries() -> dict[str, Query]:

@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -66,3 +69,19 @@ def cut(df: DataFrame) -> DataFrame:
     out = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(out)
     return spark.read.schema(df.schema).parquet(out)
+
+
+@contextmanager
+def held(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
+    """``df`` placed by its keys and kept while a loop joins it on them again and again.
+
+    The large side of such a join is then shuffled once and not in every round. What a lost
+    executor held is made again from ``df``, which should be a cut table. All uses have to be
+    written out before the block ends.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    kept = df.repartition(n, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
