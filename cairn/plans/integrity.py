@@ -59,13 +59,32 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
     return misses.groupBy("ref_table", "ref_month", "reason").agg(F.count(F.lit(1)).alias("orphans"))
 
 
-@registry.add("p5_found")
+#: Signatures by the fields that they have in these tables; the operator itself compares whole JSON values.
+_SIGNATURE = "CASE WHEN json_valid(signature_json) THEN json_object('n', json_extract_string(signature_json, '$.name'), 'r', json_extract_string(signature_json, '$.returns'), 'p', list_zip(json_extract_string(signature_json, '$.params[*].name'), json_extract_string(signature_json, '$.params[*].type')))::VARCHAR ELSE signature_json END"
+_CHANGES = f"""
+WITH v AS (
+  SELECT version_id, symbol_id, lower(ast_fingerprint) AS f, {_SIGNATURE} AS g FROM symbol_versions WHERE symbol_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY version_id, symbol_id ORDER BY ingested_at DESC NULLS LAST, row_id DESC) = 1),
+c AS (
+  SELECT version_id, lag(version_id) OVER (PARTITION BY repo_id ORDER BY created_at, version_id) AS before
+  FROM versions WHERE repo_id IS NOT NULL AND version_id IN (SELECT version_id FROM symbol_versions)),
+n AS (SELECT c.version_id, symbol_id, f, g FROM c JOIN v USING (version_id) WHERE before IS NOT NULL),
+o AS (SELECT c.version_id, symbol_id, f, g FROM c JOIN v ON v.version_id = before),
+d AS (
+  SELECT coalesce(n.version_id, o.version_id) AS version_id, coalesce(n.symbol_id, o.symbol_id) AS symbol_id,
+    CASE WHEN o.version_id IS NULL THEN 'added' WHEN n.version_id IS NULL THEN 'removed'
+      WHEN n.f IS DISTINCT FROM o.f OR n.g IS DISTINCT FROM o.g THEN 'modified' END AS change_type
+  FROM n FULL JOIN o ON n.version_id = o.version_id AND n.symbol_id = o.symbol_id)
+"""
+
+
+@registry.add("p5_found", _CHANGES + "SELECT * FROM d WHERE change_type IS NOT NULL")
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Changes of each snapshot against the one before it in its repository."""
     return snapshot_changes(table(spark, root, "versions"), table(spark, root, "symbol_versions"))
 
 
-@registry.add("p5_report")
+@registry.add("p5_report", _CHANGES + "SELECT version_id, change_type, count(*) AS changes FROM d WHERE change_type IS NOT NULL GROUP BY 1, 2")
 def p5_report(spark: SparkSession, root: str) -> DataFrame:
     """Number of changes by snapshot and kind."""
     return p5_found(spark, root).groupBy("version_id", "change_type").agg(F.count(F.lit(1)).alias("changes"))
