@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 _LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 _OUT = "ref_table string, ref_id bigint, ref_ts timestamp_ntz, reason string"
 _OUT_ARROW = pa.schema(
@@ -129,19 +131,17 @@ def find_orphans(refs: DataFrame, parents: DataFrame, *, rows_per_range: int = 1
         F.col("since").cast("timestamp_ntz").alias("since"),
         F.col("gone").cast("boolean").alias("gone"),
     )
-    total = refs.count() + parents.count()
+    place_bits = lambda n: (F.shiftright("digest", 64 - n) + (1 << (n - 1))).cast("int")
+    refs, parents = refs.withColumn("digest", F.xxhash64("key")), parents.withColumn("digest", F.xxhash64("key"))
+    # One pass over the keys, combined before it moves: at most 2**max_range_bits rows of 12 bytes.
+    fine = cut(refs.groupBy(place_bits(max_range_bits).alias("fine")).count())
+    total = (fine.agg(F.sum("count")).first()[0] or 0) + parents.count()
     bits = min(max_range_bits, max(5, (total // rows_per_range).bit_length()))
     target = max(2 * rows_per_range, 4 * (total >> bits))
-
-    def ranged(df: DataFrame) -> DataFrame:
-        df = df.withColumn("digest", F.xxhash64("key"))
-        return df.withColumn("rng", (F.shiftright("digest", 64 - bits) + (1 << (bits - 1))).cast("int"))
-
-    refs, parents = ranged(refs), ranged(parents)
+    refs, parents = refs.withColumn("rng", place_bits(bits)), parents.withColumn("rng", place_bits(bits))
     # One row for each hot range: at most 2**bits / 4 rows of 12 bytes, by the choice of target.
-    hot = F.broadcast(
-        refs.groupBy("rng").count().where(F.col("count") > target).select("rng", F.ceil(F.col("count") / target).cast("int").alias("salts"))
-    )
+    counts = fine.groupBy(F.shiftright("fine", max_range_bits - bits).alias("rng")).agg(F.sum("count").alias("count"))
+    hot = F.broadcast(counts.where(F.col("count") > target).select("rng", F.ceil(F.col("count") / target).cast("int").alias("salts")))
     salts = F.coalesce("salts", F.lit(1))
     place = (F.col("rng").cast("bigint") * (1 << 32)) + F.col("salt")
     refs = (
