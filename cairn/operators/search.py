@@ -11,21 +11,40 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import kind_rank
 from ..functions.text import tokens
+from ..session import spread
 
 
 def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """term, doc, tf and len: the inverted index of a text column. Null and empty texts have no posting."""
-    d = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("t"))
+    d = spread(docs.select(doc, text)).select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("t"))
     words = d.select("doc", F.size("t").alias("len"), F.explode("t").alias("term"))
     return words.groupBy("term", "doc", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(index: DataFrame, docs: int | DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def hits(docs: DataFrame, doc: str, text: str, queries: DataFrame) -> DataFrame:
+    """Those postings whose term is in a query, without building the whole index.
+
+    The queries' terms are one row that is broadcast; all other tokens go before anything is
+    counted or shuffled.
+    """
+    terms = queries.select(F.explode(tokens(F.col("text"))).alias("_t")).agg(F.collect_set("_t").alias("_terms"))
+    d = spread(docs.select(doc, text)).select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("t")).crossJoin(F.broadcast(terms))
+    words = d.select("doc", F.size("t").alias("len"), F.explode(F.filter("t", lambda x: F.array_contains("_terms", x))).alias("term"))
+    return words.groupBy("term", "doc", "len").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def text_size(docs: DataFrame, text: str) -> DataFrame:
+    """One row: n documents that have tokens and their mean number avg, without building the index."""
+    n = spread(docs.select(text)).select(F.size(tokens(F.col(text))).alias("len")).where("len > 0")
+    return n.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
+
+
+def bm25(index: DataFrame, docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query, doc and score of every document that shares a term with a query.
 
-    ``index`` as from ``postings``; ``docs`` has one row with n (documents with text) and avg
-    (their mean length); ``queries``: query, text. Only postings of the queries' terms are
-    scored; the terms' document counts are taken over the whole index.
+    ``index`` as from ``postings`` or ``hits``; ``docs`` has one row with n (documents with text) and avg
+    (their mean length); ``queries``: query, text, a bounded set. Only postings of the queries'
+    terms are scored; a term's document count is over all documents.
     """
     q = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     wanted = q.select("term").distinct()

@@ -35,8 +35,8 @@ _BM25 = f"{_POST}, {_Q}, qt AS (SELECT DISTINCT query, unnest({_TOK.format('text
 
 
 def _bm25(spark: SparkSession, root: str, n: int = 75) -> DataFrame:
-    index = S.postings(table(spark, root, "documents"), "doc_id", "text")
-    return S.ranked(S.bm25(index, S.corpus_size(index), _queries(spark)), "query", "score", "doc", n)
+    d, q = table(spark, root, "documents"), _queries(spark)
+    return S.ranked(S.bm25(S.hits(d, "doc_id", "text", q), S.text_size(d, "text"), q), "query", "score", "doc", n)
 
 
 @_add("bm25_topk", f"WITH {_BM25} SELECT query, doc, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM lane WHERE rank <= 75")
@@ -70,8 +70,7 @@ def _lanes(spark: SparkSession, root: str) -> DataFrame:
     text = F.lower(F.concat_ws(" ", "doc_kind", "source"))
     hit = docs.join(F.broadcast(terms), F.contains(text, F.col("term")) | F.contains(F.lower(F.coalesce("text", F.lit(""))), F.col("term")))
     names = hit.groupBy("query", F.col("doc_id").alias("doc")).agg(F.count(F.lit(1)).alias("score"))
-    index = S.postings(docs, "doc_id", "text")
-    short = index.join(F.broadcast(terms), "term").select("query", "doc", (-F.col("len")).cast("double").alias("score")).distinct()
+    short = S.hits(docs, "doc_id", "text", q).join(F.broadcast(terms), "term").select("query", "doc", (-F.col("len")).cast("double").alias("score")).distinct()
     out = _bm25(spark, root).select("query", "doc", F.lit("fts").alias("lane"), F.lit("fts").alias("source"), "rank")
     for name, df in (("names", names), ("short", short)):
         out = out.unionByName(S.ranked(df, "query", "score", "doc", 75).select("query", "doc", F.lit("vector").alias("lane"), F.lit(name).alias("source"), "rank"))

@@ -85,3 +85,12 @@ def held(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
         yield kept
     finally:
         kept.unpersist()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over at least one partition a core, for work that is heavy for each byte.
+
+    A table in fewer files than cores would leave cores idle; larger ones stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)

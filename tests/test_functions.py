@@ -112,3 +112,6 @@ def test_bm25_prefers_rare_terms(spark):
     got = S.bm25(i, S.corpus_size(i), spark.createDataFrame([("q", "common rare")], "query string, text string"))
     top = S.ranked(got, "query", "score", "doc", 5)
     assert [r.doc for r in top.orderBy("rank").collect()][0] == 1 and top.count() == 3
+    q = spark.createDataFrame([("q", "common rare")], "query string, text string")
+    again = S.bm25(S.hits(d, "doc_id", "text", q), S.text_size(d, "text"), q)
+    assert {(r.doc, round(r.score, 9)) for r in again.collect()} == {(r.doc, round(r.score, 9)) for r in got.collect()}
