@@ -113,7 +113,7 @@ def index_quality(spark: SparkSession, root: str) -> DataFrame:
     return s.agg(_n().alias("symbols"), is_(F.col("symbol_status") == "real").alias("real_symbols"), is_(F.col("symbol_status") == "unresolved").alias("unresolved"), is_(F.col("summary").isNull()).alias("no_summary"), is_(F.col("signature_json").isNull()).alias("no_signature"), is_(F.col("deleted_at").isNotNull()).alias("deleted"), is_(F.col("file_id").isNotNull() & F.col("has_file").isNull()).alias("lost_file"), is_(F.col("has_edge").isNull()).alias("no_edge"))
 
 
-@_add("repo_stats", sql("sym", "SELECT repo_id, count(*) AS total, count_if(kind = 'class') AS class, count_if(kind = 'function') AS function, count_if(kind = 'method') AS method, count_if(exported) AS exported, floor(count(*) * 10.0 / count(DISTINCT file_id) + 0.5) / 10 AS per_file FROM sym WHERE file_id IS NOT NULL GROUP BY 1"))
+@_add("repo_stats", sql("sym", "SELECT repo_id, count(*) AS total, count_if(kind = 'class') AS class, count_if(kind = 'function') AS function, count_if(kind = 'method') AS method, count(*) FILTER (WHERE exported) AS exported, floor(count(*) * 10.0 / count(DISTINCT file_id) + 0.5) / 10 AS per_file FROM sym WHERE file_id IS NOT NULL GROUP BY 1"))
 def repo_stats(spark: SparkSession, root: str) -> DataFrame:
     """Pivot of kinds, exported count and an average rounded to a tenth."""
     s = G.symbols(spark, root).where("file_id is not null")
@@ -129,7 +129,7 @@ def _dirs(spark: SparkSession, root: str) -> DataFrame:
     return G.symbols(spark, root).join(f, "file_id")
 
 
-@_add("directory_rollup", sql("sym fil", "SELECT dir, count(DISTINCT file_id) AS files, count(*) AS symbols, count_if(exported) AS exported, count_if(kind = 'class') AS classes FROM d GROUP BY 1", _DIRS))
+@_add("directory_rollup", sql("sym fil", "SELECT dir, count(DISTINCT file_id) AS files, count(*) AS symbols, count(*) FILTER (WHERE exported) AS exported, count_if(kind = 'class') AS classes FROM d GROUP BY 1", _DIRS))
 def directory_rollup(spark: SparkSession, root: str) -> DataFrame:
     """Files, symbols and kinds of each directory."""
     return _dirs(spark, root).groupBy("dir").agg(F.countDistinct("file_id").alias("files"), _n().alias("symbols"), F.count_if("exported").alias("exported"), F.count_if(F.col("kind") == "class").alias("classes"))

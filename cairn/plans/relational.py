@@ -16,7 +16,7 @@ registry = Registry()
 _add = registry.add
 
 
-@_add("symbols_by_repo", sql("sym", "SELECT repo_id, kind, CAST(count(*) AS BIGINT) AS n, CAST(count_if(exported) AS BIGINT) AS exported FROM sym GROUP BY ALL"))
+@_add("symbols_by_repo", sql("sym", "SELECT repo_id, kind, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE exported) AS BIGINT) AS exported FROM sym GROUP BY ALL"))
 def symbols_by_repo(spark: SparkSession, root: str) -> DataFrame:
     """Label scan with a property filter, counted by repository and kind."""
     return G.symbols(spark, root).groupBy("repo_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("exported").alias("exported"))
