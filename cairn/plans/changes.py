@@ -206,13 +206,13 @@ def retention_sweep(spark: SparkSession, root: str) -> DataFrame:
     return e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))).where("ts >= now - interval 14 days").groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@_add("recency_decay", sql("sym met", "SELECT id, round(0.9::DOUBLE / (1 + date_diff('day', updated_at, (SELECT max(updated_at) FROM sym)) / 30.0::DOUBLE) * (1 + 0.1::DOUBLE * least(1, coalesce(page_rank, 0) * 100)), 5) AS score FROM sym LEFT JOIN met USING (id)"))
+@_add("recency_decay", sql("sym met", "SELECT id, round(0.9::DOUBLE / (1 + date_diff('day', updated_at, (SELECT max(updated_at) FROM sym)) / 30.0::DOUBLE) * (1 + 0.1::DOUBLE * least(1, coalesce(page_rank, 0) * 100)), 9) AS score FROM sym LEFT JOIN met USING (id)"))
 def recency_decay(spark: SparkSession, root: str) -> DataFrame:
     """Confidence that fades with age and gains by centrality."""
     s = G.symbols(spark, root).select("id", "updated_at")
     j = s.join(G.metrics(spark, root).select("id", "page_rank"), "id", "left").crossJoin(F.broadcast(s.agg(F.max("updated_at").alias("now"))))
     days = F.datediff("now", "updated_at")
-    return j.select("id", F.round(0.9 / (1 + days / 30.0) * (1 + 0.1 * F.least(F.lit(1.0), F.coalesce("page_rank", F.lit(0.0)) * 100)), 5).alias("score"))
+    return j.select("id", F.round(0.9 / (1 + days / 30.0) * (1 + 0.1 * F.least(F.lit(1.0), F.coalesce("page_rank", F.lit(0.0)) * 100)), 9).alias("score"))
 
 
 @_add("data_pick", "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS kind, NULL AS missing FROM events")
