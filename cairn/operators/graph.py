@@ -72,6 +72,25 @@ def shortest_lengths(edges: DataFrame, pairs: DataFrame, hops: int) -> DataFrame
     return want.join(seen.select("a", F.col("node").alias("b"), "n"), ["a", "b"], "left")
 
 
+def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 12) -> DataFrame:
+    """``a``, ``b``, the least number ``n`` of edges from a to b and the nodes of one such ``path`` (null beyond ``hops``).
+
+    Walks like ``shortest_lengths``; a node's path extends that of its smallest predecessor, so
+    only one row a pair of start and node moves.
+    """
+    step = cut(edges.select(F.col("src").alias("at"), F.col("dst").alias("node")).where("src is not null and dst is not null").distinct())
+    want = pairs.select("a", "b").distinct()
+    seen = cut(want.select("a", F.col("a").alias("node"), F.lit(0).alias("n"), F.array("a").alias("path")).distinct())
+    frontier = seen
+    for d in range(1, hops + 1):
+        via = step.join(frontier.select("a", F.col("node").alias("at"), "path"), "at").join(seen.select("a", "node"), ["a", "node"], "left_anti")
+        frontier = cut(via.groupBy("a", "node").agg(F.min_by("path", "at").alias("p")).select("a", "node", F.lit(d).alias("n"), F.concat("p", F.array("node")).alias("path")))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return want.join(seen.select("a", F.col("node").alias("b"), "n", "path"), ["a", "b"], "left")
+
+
 def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
     """``id`` and ``score`` after a fixed number of rounds; scores sum to 1.
 

@@ -75,6 +75,11 @@ def neighborhood_edges(spark: SparkSession, root: str) -> DataFrame:
 _PAIRS = "p AS (SELECT (SELECT min(src) FROM edg) AS a, id AS b FROM seed)"
 
 
+def _pairs(spark: SparkSession, root: str, edges: DataFrame) -> DataFrame:
+    """The first symbol with each changed one."""
+    return _seeds(spark, root).select(F.col("id").alias("b")).crossJoin(F.broadcast(edges.agg(F.min("src").alias("a")))).select("a", "b")
+
+
 def _walk(hops: int) -> str:
     out = [_SEEDS, _PAIRS, "w0 AS (SELECT DISTINCT a, a AS node, 0 AS n FROM p)"]
     for d in range(1, hops + 1):
@@ -84,10 +89,16 @@ def _walk(hops: int) -> str:
 
 @_add("shortest_path_len", sql("edg sym", "SELECT p.a, p.b, w.n FROM p LEFT JOIN w6 w ON w.a = p.a AND w.node = p.b", _walk(6)))
 def shortest_path_len(spark: SparkSession, root: str) -> DataFrame:
-    """Least number of edges from one symbol to each changed one."""
+    """Least number of edges from one symbol to each changed one, up to six as in its SQL; ``shortest_paths`` goes on."""
+    e = G.edges(spark, root)
+    return A.shortest_lengths(e, _pairs(spark, root, e), 6)
+
+
+@_add("shortest_paths")
+def shortest_paths(spark: SparkSession, root: str) -> DataFrame:
+    """The way from one symbol to each changed one, over at most twelve edges."""
     e = G.edges(spark, root)
-    pairs = _seeds(spark, root).select(F.col("id").alias("b")).crossJoin(F.broadcast(e.agg(F.min("src").alias("a")))).select("a", "b")
-    return A.shortest_lengths(e, pairs, 6)
+    return A.shortest_paths(e, _pairs(spark, root, e), 12).select("a", "b", "n", F.array_join("path", ">").alias("path"))
 
 
 def _rank_rounds(k: int) -> str:
