@@ -186,7 +186,7 @@ def canonical_test(spark: SparkSession, root: str) -> DataFrame:
 
 @_add("components", sql("edg", "SELECT id, min(c) AS component FROM cc GROUP BY 1", "k AS (SELECT src, dst FROM edg WHERE edge_type = 'implements' AND src <> dst), b AS (SELECT src, dst FROM k UNION SELECT dst, src FROM k), cc AS (SELECT src AS id, src AS c FROM b UNION SELECT dst, c FROM cc JOIN b ON src = id)"))
 def components(spark: SparkSession, root: str) -> DataFrame:
-    """Connected components over implementations."""
+    """Connected components over implementations only; ``call_components`` has those over calls."""
     return A.components(G.edges(spark, root).where("edge_type = 'implements' and src <> dst"))
 
 
@@ -198,6 +198,13 @@ def _repo_edges(spark: SparkSession, root: str) -> DataFrame:
     return j.where("repo_id = other").drop("other")
 
 
+@_add("call_components")
+def call_components(spark: SparkSession, root: str) -> DataFrame:
+    """Connected components over all calls, across repositories too; a symbol without calls is one of its own."""
+    alone = G.symbols(spark, root).select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    return A.components(G.edges(spark, root).where("edge_type = 'call'").select("src", "dst").unionByName(alone))
+
+
 @_add("label_propagation")
 def label_propagation(spark: SparkSession, root: str) -> DataFrame:
     """Clusters of 3 to 250 symbols by sequential label propagation in each repository, named by their members."""

@@ -43,3 +43,16 @@ def test_paths_go_twelve_hops_and_name_their_nodes(spark, tmp_path, seed):
             way = x.path.split(">")
             assert (way[0], way[-1], len(way)) == ("m", b, x.n + 1) and set(zip(way, way[1:])) <= set(pairs)
     assert max(x.n or 0 for x in got.values()) == 12
+
+
+def test_components_follow_calls(spark, tmp_path):
+    r = random.Random(3)
+    edges = [(f"n{r.randrange(40):02}", f"n{r.randrange(40):02}", r.choice(["call", "call", "implements", "import"])) for _ in range(45)]
+    nodes = [f"n{i:02}" for i in range(42)]
+    near = {x: {x} for x in nodes}
+    for a, b, t in edges:
+        if t == "call":
+            near[a].add(b)
+            near[b].add(a)
+    want = {x: min(brute_distance([(a, b) for a in near for b in near[a]], x)) for x in nodes}
+    assert {x.id: x.component for x in Q.call_components(spark, index(spark, tmp_path, edges, alone=nodes)).collect()} == want
