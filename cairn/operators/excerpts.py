@@ -47,8 +47,9 @@ def excerpts(df: DataFrame, key: str, text: str, words: list[str], *, around: in
     """key, first, last and lines of the ranges around lines that hold a word.
 
     Hit lines are taken first, in order, then lines at distance 1, 2, ... up to ``around``,
-    until the lines or tokens (four characters each) are used up; neighbouring lines form one
-    range. Words compare without letter case. A text without a hit gives no row.
+    until the lines are used up; a line that does not fit what is left of the tokens (four
+    characters each) is passed over. Neighbouring lines form one range. Words compare without
+    letter case. Only a text without a hit, or of which no wanted line fits, gives no row.
     """
     low = [w.lower() for w in words]
 
@@ -64,8 +65,10 @@ def excerpts(df: DataFrame, key: str, text: str, words: list[str], *, around: in
                 taken, used = [], 0
                 for i in wanted:
                     cost = -(-len(lines[i]) // 4)
-                    if len(taken) == most_lines or used + cost > most_tokens:
+                    if len(taken) == most_lines:
                         break
+                    if used + cost > most_tokens:
+                        continue
                     taken.append(i)
                     used += cost
                 taken.sort()

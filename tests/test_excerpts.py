@@ -34,6 +34,13 @@ def test_excerpts(spark):
     assert X.excerpts(d.limit(0), "k", "t", ["x"]).isEmpty()
 
 
+def test_excerpts_pass_over_what_does_not_fit(spark):
+    long = "token " * 20
+    d = spark.createDataFrame([(1, "\n".join([long, "a", "b", "token", "c", long, "token"])), (2, long), (3, f"{long}\nx")], "k int, t string")
+    got = [(r.k, r["first"], r["last"]) for r in X.excerpts(d, "k", "t", ["token"], around=1, most_tokens=10).collect()]
+    assert got == [(1, 2, 5), (1, 7, 7), (3, 2, 2)]
+
+
 def test_windows_and_truncation(spark):
     d = spark.createDataFrame([("1\n2\n3\n4\n5\n6", 1), ("1\n2", 2)], "t string, c int")
     assert [r.x for r in d.select(X.line_window(F.col("t"), F.col("c"), 3).alias("x")).collect()] == ["1\n2\n3", "1\n2"]
