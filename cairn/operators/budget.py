@@ -47,39 +47,61 @@ def token_prefix(items: DataFrame, group: list[str], order: list, size: str, bud
     return items.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
 
 
-def beam_slices(edges: DataFrame, seeds: DataFrame, scores: DataFrame, part: str, *, max_cards: int = 60, threshold: float = 0.2, frontier: int = 1000, most_edges: int = 2_000_000) -> DataFrame:
+def adaptive_confidence(least: float, used: float, budget: float) -> float:
+    """The confidence an edge needs: ``least``, but .8 beyond seven tenths of the budget and .95 beyond nine."""
+    ratio = used / budget if budget > 0 else 0.0
+    return max(least, 0.95) if ratio > 0.9 else max(least, 0.8) if ratio > 0.7 else max(0.0, min(1.0, least))
+
+
+def slice_settled(scores: list[float], ahead: float, threshold: float, max_cards: int) -> bool:
+    """Whether six cards or more, six tenths of them .2 above the threshold, are followed by a clear drop to ``ahead``."""
+    if len(scores) < min(6, max_cards) or sum(x >= threshold + 0.2 for x in scores) < 0.6 * len(scores):
+        return False
+    recent = scores[-6:]
+    return ahead < max(threshold + 0.08, 0.67 * sum(recent) / len(recent))
+
+
+def beam_slices(edges: DataFrame, seeds: DataFrame, scores: DataFrame, part: str, *, max_cards: int = 60, max_tokens: int = 12_000, min_confidence: float = 0.5, threshold: float = 0.2, frontier: int = 1000, most_edges: int = 2_000_000) -> DataFrame:
     """Best-first slices from each seed: seed, id, pos, score.
 
-    A node's priority is its own score (0..1) times the strength of the edge that reached it
-    times .8 for each further step; what falls below the threshold is not followed, the
-    frontier keeps its best, and a slice ends at ``max_cards``. Each part's adjacency lies in
-    one task, since the order depends on what was taken before; a part over ``most_edges``
-    edges is refused by an error that names it.
+    ``edges``: part, src, dst, w, confidence (0..1); ``scores``: part, id, score, tokens (null
+    counts as 50). A node's priority is its own score (0..1) times the strength of the edge that
+    reached it times .8 for each further step; what falls below the threshold is not followed,
+    nor an edge below the confidence that ``adaptive_confidence`` asks for at the tokens used,
+    and the frontier keeps its best. A slice ends at ``max_cards``, at the first card that
+    exceeds ``max_tokens``, or when it has ``slice_settled``. Each part's adjacency lies in one
+    task, since the order depends on what was taken before; a part over ``most_edges`` edges is
+    refused by an error that names it.
     """
 
     def run(key: tuple, e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if len(e) > most_edges:
             raise ValueError(f"{part} {key[0]} has {len(e)} edges, more than {most_edges}")
-        out: dict[str, list[tuple[str, float]]] = {}
-        for a, b, w in zip(e["src"], e["dst"], e["w"]):
-            out.setdefault(a, []).append((b, w))
-        own = dict(zip(s["id"], s["score"]))
+        out: dict[str, list[tuple[str, float, float]]] = {}
+        for a, b, w, c in zip(e["src"], e["dst"], e["w"], e["confidence"]):
+            out.setdefault(a, []).append((b, w, c))
+        own, size = dict(zip(s["id"], s["score"])), dict(zip(s["id"], s["tokens"]))
         rows = []
         for seed in sorted(s.loc[s["is_seed"], "id"].unique()):
-            heap, taken = [(-1.0, seed, 0)], {}
+            heap, taken, used = [(-1.0, seed, 0)], {}, 0
             while heap and len(taken) < max_cards:
                 p, x, d = heapq.heappop(heap)
-                if x in taken:
-                    continue
+                need, used = adaptive_confidence(min_confidence, used, max_tokens), used + size.get(x, 50)
+                if used > max_tokens:
+                    break
                 taken[x] = -p
                 rows.append((seed, x, len(taken) - 1, -p))
-                for y, w in out.get(x, ()):
+                for y, w, c in out.get(x, ()):
                     q = own.get(y, 0.5) * w * 0.8**d
-                    if y not in taken and q >= threshold:
+                    if y not in taken and c >= need and q >= threshold:
                         heapq.heappush(heap, (-q, y, d + 1))
                 if len(heap) > frontier:
                     heap = heapq.nsmallest(frontier, heap)
+                while heap and heap[0][1] in taken:
+                    heapq.heappop(heap)
+                if heap and slice_settled([*taken.values()], -heap[0][0], threshold, max_cards):
+                    break
         return pd.DataFrame(rows, columns=["seed", "id", "pos", "score"])
 
-    nodes = scores.select(part, "id", "score").join(seeds.select("id", F.lit(True).alias("is_seed")).distinct(), "id", "left").select(part, "id", "score", F.coalesce("is_seed", F.lit(False)).alias("is_seed"))
-    return edges.select(part, "src", "dst", "w").groupBy(part).cogroup(nodes.groupBy(part)).applyInPandas(run, "seed string, id string, pos int, score double")
+    nodes = scores.select(part, "id", "score", "tokens").join(seeds.select("id", F.lit(True).alias("is_seed")).distinct(), "id", "left").select(part, "id", "score", F.coalesce("tokens", F.lit(50)).alias("tokens"), F.coalesce("is_seed", F.lit(False)).alias("is_seed"))
+    return edges.select(part, "src", "dst", "w", "confidence").groupBy(part).cogroup(nodes.groupBy(part)).applyInPandas(run, "seed string, id string, pos int, score double")

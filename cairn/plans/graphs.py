@@ -239,12 +239,21 @@ def flow_traces(spark: SparkSession, root: str) -> DataFrame:
 
 @_add("beam_slice")
 def beam_slice(spark: SparkSession, root: str) -> DataFrame:
-    """Slices of at most 60 symbols around the changed ones, best first."""
+    """Slices of at most 60 symbols and 12,000 tokens around the changed ones, best first."""
+    return beam_slices_of(spark, root, _seeds(spark, root))
+
+
+def beam_slices_of(spark: SparkSession, root: str, seeds: DataFrame) -> DataFrame:
+    """Slices over the calls inside a repository; an edge without confidence counts as sure."""
     m = G.metrics(spark, root).select("id", C.hotness(F.col("fan_in"), F.col("fan_out"), F.col("churn30d")).alias("hot"))
-    s = G.symbols(spark, root).select("repo_id", "id", "kind").join(m, "id", "left")
-    s = s.select("repo_id", "id", F.least(F.lit(1.0), 0.4 + 0.4 * F.coalesce("hot", F.lit(0.0)) + 0.2 * C.kind_specificity(F.col("kind"))).alias("score"))
-    e = _repo_edges(spark, root).groupBy("repo_id", "src", "dst").agg(F.max(F.least(F.lit(1.0), F.coalesce("weight", F.lit(1.0)) * F.coalesce("confidence", F.lit(1.0)))).alias("w"))
-    return B.beam_slices(e, _seeds(spark, root), s, "repo_id")
+    part = lambda c: F.coalesce(F.length(c), F.lit(0)) / 4
+    out = G.edges(spark, root).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"))
+    tokens = F.ceil(50 + part("name") + part("signature_json") + F.least(part("summary"), F.lit(150)) + 5 * F.coalesce("out", F.lit(0))).alias("tokens")
+    s = G.symbols(spark, root).select("repo_id", "id", "kind", "name", "signature_json", "summary").join(m, "id", "left").join(out, "id", "left")
+    s = s.select("repo_id", "id", F.least(F.lit(1.0), 0.4 + 0.4 * F.coalesce("hot", F.lit(0.0)) + 0.2 * C.kind_specificity(F.col("kind"))).alias("score"), tokens)
+    sure = F.when(F.col("confidence").isNull() | F.isnan("confidence"), 1.0).otherwise(C.clamp(F.col("confidence")))
+    e = _repo_edges(spark, root).withColumn("confidence", sure).groupBy("repo_id", "src", "dst", "confidence").agg(F.max(F.least(F.lit(1.0), F.coalesce("weight", F.lit(1.0)) * F.col("confidence"))).alias("w"))
+    return B.beam_slices(e, seeds, s, "repo_id")
 
 
 @_add("blast_budget")

@@ -144,3 +144,53 @@ def test_local_clusters_refuse_rather_than_cut(spark):
     with pytest.raises(Exception, match="spread_labels"):
         G.local_clusters(e, "p", most_edges=1).collect()
     assert G.spread_labels(e).select(F.countDistinct("label")).first()[0] >= 1
+
+
+def brute_slice(edges, own, size, seed, most, cards=60):
+    """Best first by a plain scan of all that is open."""
+    taken, used, left = [], 0, [(-1.0, seed, 0)]
+    while left and len(taken) < cards:
+        p, x, d = min(left)
+        ratio = used / most
+        need = 0.95 if ratio > 0.9 else 0.8 if ratio > 0.7 else 0.5
+        used += size[x]
+        if used > most:
+            break
+        taken.append((x, -p))
+        left += [(-own[b] * w * 0.8**d, b, d + 1) for a, b, w, c in edges if a == x and c >= need and own[b] * w * 0.8**d >= 0.2]
+        left = [k for k in left if k[1] not in {t[0] for t in taken}]
+        got = [t[1] for t in taken]
+        if left and len(got) >= 6 and sum(v >= 0.4 for v in got) / len(got) >= 0.6 and -min(left)[0] < max(0.28, 0.67 * sum(got[-6:]) / len(got[-6:])):
+            break
+    return [t[0] for t in taken]
+
+
+def slices(spark, edges, own, size, seeds, **limits):
+    e = spark.createDataFrame([("r", *x) for x in edges], "p string, src string, dst string, w double, confidence double")
+    s = spark.createDataFrame([("r", x, own[x], size[x]) for x in own], "p string, id string, score double, tokens int")
+    got = {}
+    for x in B.beam_slices(e, ids(spark, seeds), s, "p", **limits).orderBy("seed", "pos").collect():
+        got.setdefault(x.seed, []).append(x.id)
+    return got
+
+
+def test_slices_heed_confidence_tokens_and_the_drop(spark):
+    own = dict.fromkeys(["s", *"abcdefg"], 1.0)
+    size = dict.fromkeys(own, 50)
+    # An edge that is not sure is no edge; the budget ends the slice.
+    assert slices(spark, [("s", "a", 1.0, 0.9), ("s", "b", 1.0, 0.4)], own, size, ["s"]) == {"s": ["s", "a"]}
+    assert slices(spark, [("s", "a", 1.0, 1.0), ("a", "b", 1.0, 1.0)], own, size, ["s"], max_tokens=120) == {"s": ["s", "a"]}
+    # Beyond seven tenths of the budget an edge needs .8.
+    assert slices(spark, [("s", "a", 1.0, 0.6), ("a", "b", 1.0, 0.7), ("a", "c", 1.0, 0.85)], own, size | {"s": 750}, ["s"], max_tokens=1000) == {"s": ["s", "a", "c"]}
+    # Sure cards and then a drop: the cap tightens.
+    assert slices(spark, [*(("s", x, 1.0, 1.0) for x in "abcdef"), ("s", "g", 0.3, 1.0)], own, size, ["s"]) == {"s": ["s", *"abcdef"]}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_slices_equal_a_plain_scan(spark, seed):
+    r = random.Random(seed)
+    names = [f"n{i:02}" for i in range(40)]
+    edges = [(*r.sample(names, 2), r.choice([0.6, 0.8, 1.0]), r.choice([0.3, 0.6, 0.85, 1.0])) for _ in range(200)]
+    own, size = {x: r.choice([0.5, 0.8, 1.0]) for x in names}, {x: r.randrange(50, 300) for x in names}
+    got = slices(spark, edges, own, size, names, max_tokens=1500)
+    assert got == {x: brute_slice(edges, own, size, x, 1500) for x in names if brute_slice(edges, own, size, x, 1500)}
