@@ -140,6 +140,11 @@ def is_test_path(path: Column) -> Column:
     return F.lower(path).rlike(r"(^|/)tests/|\.test\.|\.spec\.")
 
 
+def is_test_file(path: Column) -> Column:
+    """Whether a path names a test: by its ending, or in any language under a folder of tests; what lies among test inputs does not."""
+    return path.rlike(r"\.(test|spec)\.(ts|js)$|(^|/)(tests|__tests__)/") & ~path.rlike("/(fixtures|__fixtures__|testdata|test-data|mocks|stubs)/")
+
+
 def plain_type(c: Column, depth: int = 6) -> Column:
     """A type's name without its arguments in angle brackets, nested up to ``depth``."""
     for _ in range(depth):

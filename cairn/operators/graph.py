@@ -8,6 +8,7 @@ node costs a row a partition.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable
 
 import pandas as pd
@@ -170,17 +171,17 @@ def weighted_adjacency(edges: DataFrame, reverse: float = 0.5) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("w").alias("w")).where("w > 0")
 
 
-def nearest_seed(edges: DataFrame, seeds: DataFrame, cap: float, rounds: int) -> DataFrame:
+def nearest_seed(edges: DataFrame, seeds: DataFrame, cap: float, rounds: int | None = None) -> DataFrame:
     """``id``, ``distance`` and ``seed`` of the cheapest way from a seed along ``src, dst, cost``, both ways.
 
     Bounded relaxation: nodes at ``cap`` or beyond do not go on, at most ``rounds`` edges are
-    walked, and of equal costs the smaller seed counts.
+    walked, or as many as improve anything, and of equal costs the smaller seed counts.
     """
     both = edges.select("src", "dst", "cost").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"))
     both = cut(both.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.min("cost").alias("cost")))
     state = cut(seeds.select("id").distinct().select("id", F.struct(F.lit(0.0).alias("d"), F.col("id").alias("seed")).alias("s")))
     frontier = state
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         way = both.join(frontier.where(F.col("s.d") < cap).select(F.col("id").alias("src"), "s"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("s.d") + F.col("cost")).alias("d"), F.col("s.seed").alias("seed"))).alias("t"))
         better = cut(way.join(state, "id", "left").where(F.col("s").isNull() | (F.col("t") < F.col("s"))).select("id", F.col("t").alias("s")))
         if better.isEmpty():

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as C
+from ..functions import text as T
 from ..operators import budget as B
 from ..operators import graph as A
 from ..operators import joins as J
@@ -175,13 +176,24 @@ def _relax(rounds: int) -> str:
     return ", ".join(out)
 
 
+def _costs(spark: SparkSession, root: str) -> DataFrame:
+    """Edges with what a step over them costs."""
+    cost = F.when(F.col("edge_type") == "call", 1.0).when(F.col("edge_type") == "config", 1.5).otherwise(2.0)
+    return G.edges(spark, root).select("src", "dst", cost.alias("cost"))
+
+
 @_add("canonical_test", sql("edg sym fil", "SELECT id, d AS distance, seed, round(1 / (1 + d), 6) AS proximity FROM t5", _relax(5)))
 def canonical_test(spark: SparkSession, root: str) -> DataFrame:
-    """The cheapest test of each symbol over at most five edges."""
-    cost = F.when(F.col("edge_type") == "call", 1.0).when(F.col("edge_type") == "config", 1.5).otherwise(2.0)
-    e = G.edges(spark, root).select("src", "dst", cost.alias("cost"))
+    """The cheapest test under tests/ over at most five edges, as in its SQL; ``nearest_tests`` has neither bound."""
     tests = G.symbols(spark, root).select("id", "file_id").join(G.files(spark, root).where("path like 'tests/%'").select("file_id"), "file_id").select("id")
-    return A.nearest_seed(e, tests, 12.0, 5).withColumn("proximity", F.round(1 / (1 + F.col("distance")), 6))
+    return A.nearest_seed(_costs(spark, root), tests, 12.0, 5).withColumn("proximity", F.round(1 / (1 + F.col("distance")), 6))
+
+
+@_add("nearest_tests")
+def nearest_tests(spark: SparkSession, root: str) -> DataFrame:
+    """The cheapest test of each symbol, whatever the number of edges, up to a cost of 12."""
+    tests = G.symbols(spark, root).select("id", "file_id").join(G.files(spark, root).where(T.is_test_file(F.col("path"))).select("file_id"), "file_id").select("id")
+    return A.nearest_seed(_costs(spark, root), tests, 12.0).withColumn("proximity", F.round(1 / (1 + F.col("distance")), 6))
 
 
 @_add("components", sql("edg", "SELECT id, min(c) AS component FROM cc GROUP BY 1", "k AS (SELECT src, dst FROM edg WHERE edge_type = 'implements' AND src <> dst), b AS (SELECT src, dst FROM k UNION SELECT dst, src FROM k), cc AS (SELECT src AS id, src AS c FROM b UNION SELECT dst, c FROM cc JOIN b ON src = id)"))

@@ -115,3 +115,10 @@ def test_bm25_prefers_rare_terms(spark):
     q = spark.createDataFrame([("q", "common rare")], "query string, text string")
     again = S.bm25(S.hits(d, "doc_id", "text", q), S.text_size(d, "text"), q)
     assert {(r.doc, round(r.score, 9)) for r in again.collect()} == {(r.doc, round(r.score, 9)) for r in got.collect()}
+
+
+def test_test_files(spark):
+    yes = ["a.test.ts", "src/a.spec.js", "tests/a.ts", "pkg/tests/deep/a.mjs", "__tests__/a.jsx", "src/__tests__/a.tsx", "tests/a.py"]
+    no = ["src/a.ts", "tests/fixtures/a.test.ts", "src/mocks/a.spec.js", "mytests/a.ts", "a.test.tsx", "contest.ts"]
+    d = spark.createDataFrame([(x,) for x in yes + no], "p string")
+    assert [r.p for r in d.where(T.is_test_file(F.col("p"))).collect()] == yes

@@ -194,3 +194,10 @@ def test_slices_equal_a_plain_scan(spark, seed):
     own, size = {x: r.choice([0.5, 0.8, 1.0]) for x in names}, {x: r.randrange(50, 300) for x in names}
     got = slices(spark, edges, own, size, names, max_tokens=1500)
     assert got == {x: brute_slice(edges, own, size, x, 1500) for x in names if brute_slice(edges, own, size, x, 1500)}
+
+
+def test_nearest_seed_goes_on_until_nothing_improves(spark):
+    chain = [(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(14)]
+    e = spark.createDataFrame(chain, "src string, dst string, cost double")
+    got = {r.id: r.distance for r in G.nearest_seed(e, ids(spark, ["n00"]), 12.0).collect()}
+    assert got == {f"n{i:02}": float(i) for i in range(13)}
