@@ -327,8 +327,10 @@ def document_segments(text: str | None, model: LanguageModel) -> list[tuple[int,
     unclear = gap < AMBIGUOUS
     if unclear.any() and not unclear.all():
         clear = np.flatnonzero(~unclear)
-        for i in np.flatnonzero(unclear):  # the nearest clear sentence decides, the earlier of two
-            best[i] = best[clear[np.argmin(np.abs(clear - i))]]
+        for i in np.flatnonzero(unclear):  # the nearest clear sentence in a likely language decides, the earlier of two
+            likely = clear[p[i, best[clear]] >= min(order[i, -2], order[i, -1] / 2)]
+            if len(likely):
+                best[i] = best[likely[np.argmin(np.abs(likely - i))]]
     elif unclear.all():
         best[:] = int(np.log(p + 1e-9).sum(0).argmax())
     out = []

@@ -93,3 +93,21 @@ def test_tables(spark):
     got = [(r.doc_id, r.lang) for r in L.label_findings(d.unionByName(extra)).where("doc_id is null or doc_id < 0").collect()]
     assert sorted(got, key=str) == sorted([(-4, "de"), (None, "fr"), (-6, "en")], key=str)
     assert L.label_findings(d.limit(0)).isEmpty() and L.language_segments(extra).isEmpty()
+
+
+def test_a_neighbour_decides_only_among_likely_languages():
+    class Model:
+        langs = ["da", "en", "sv"]
+
+        def predict(self, bags):
+            p = np.array([{"english": [0, 1, 0], "danish": [1, 0, 0], "either": [0.5, 0.02, 0.48], "unsure": [0.36, 0.3, 0.34]}[w[0]] for w in bags])
+            return p.argmax(1), p.max(1), p
+
+    def langs(*kinds):
+        text = " ".join(f"{k.capitalize()} words make up this whole sentence here." for k in kinds)
+        assert len(L.sentences(text)) == len(kinds)
+        return [(x[3], x[2]) for x in L.document_segments(text, Model())]
+
+    assert langs("english", "english", "either", "either") == [("en", 2), ("da", 2)]
+    assert langs("english", "either", "danish") == [("en", 1), ("da", 2)]
+    assert langs("english", "unsure", "english") == [("en", 3)]
