@@ -9,6 +9,7 @@ content hashes tells known third-party files.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -52,9 +53,11 @@ MADE_NAME = re.compile(
 )
 SMALL_NAME = re.compile(r"([._-]min|\.umd|\.bundle|[._-]bundle|\.chunk|\.prod(uction)?|\.packed?|-debug\.min)\.(m?js|cjs|css)$|\.[0-9a-f]{8,32}\.(m?js|cjs|css)$|^vendors?~")
 LOCK_NAME = re.compile(r"^(package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|cargo\.lock|poetry\.lock|pipfile\.lock|composer\.lock|gemfile\.lock|go\.sum|flake\.lock|packages\.lock\.json|bun\.lockb?)$")
-_PACKAGE = re.compile(r"^@?[a-z][a-z0-9_.-]*[-_@]v?\d+(\.\d+)+[a-z0-9.-]*$")
+_PACKAGE, _RELEASE = re.compile(r"^@?[a-z][a-z0-9_.@-]*+$"), re.compile(r"[-_@]v?\d++\.\d[a-z0-9.-]*+$")
 _COMMENT = re.compile(r"\s*(//+!?|#+!?|/\*+!?|\*+|--+|;+|%+|<!--|'|rem\b|\"\"\"|''')\s*")
-#: A file of this many bytes without readable first lines holds data.
+#: Languages whose built output is minified, for files without a known suffix.
+SCRIPTS = ("javascript", "css", "js")
+#: Default of ``data_bytes``.
 DATA_BYTES = 500_000
 
 _KINDS = ("generated", "minified", "third_party", "data")
@@ -72,27 +75,43 @@ def notice_automaton() -> ahocorasick.Automaton:
     return a
 
 
+_LEAD = re.compile(r"[ \t*#\-/!<]*+")
+_PAIRS = (("/*", "*/"), ("<!--", "-->"))
+
+
+def _comment_starts(low: str) -> tuple[list[int], list[int]]:
+    """Where each line starts and where the words of its comment do (-1 for no comment), in one pass."""
+    starts, begins, inside, at = [], [], [False, False], 0
+    for line in low.split("\n"):
+        mark = _COMMENT.match(line)
+        starts.append(at)
+        begins.append(at + _LEAD.match(line, mark.end() if mark else 0).end() if mark or any(inside) else -1)
+        for i, (start, end) in enumerate(_PAIRS):
+            a, b = line.rfind(start), line.rfind(end)
+            inside[i] = a > b if a != b else inside[i]
+        at += len(line) + 1
+    return starts, begins
+
+
 def has_notice(head: str, automaton: ahocorasick.Automaton) -> bool:
     """Whether a comment in the first lines says that a tool made the file."""
-    low = head.lower()
-    edit = low.find("do not edit")
+    low, lines = head.lower(), None
     for end, (word, opening) in automaton.iter(low):
-        first = low.rfind("\n", 0, end - len(word) + 1) + 1
-        mark = _COMMENT.match(low, first)
-        if mark:
-            begin = mark.end()
-        elif low.rfind("/*", 0, first) > low.rfind("*/", 0, first) or low.rfind("<!--", 0, first) > low.rfind("-->", 0, first):
-            begin = first  # a line inside a block comment
-        else:
-            continue
-        before = low[begin : end - len(word) + 1].strip(" \t*#-/!<")
-        if not opening or not before or (edit >= 0 and before in ("this file", "this code", "file")):
+        starts, begins = lines = lines or _comment_starts(low)
+        at = end - len(word) + 1
+        begin = begins[bisect.bisect_right(starts, at) - 1]
+        if begin >= 0 and (not opening or at <= begin or (at - begin < 16 and low[begin:at].strip() in ("this file", "this code", "file") and "do not edit" in low)):
             return True
     return False
 
 
-_LITERAL = re.compile(r"""^\s*[\[{(]?\s*((["'][^"']{0,60}["']|[-+]?(0x[0-9a-f]+|\d[\d._]*(e[-+]?\d+)?[lfu]*)|null|none|nil|true|false)\s*[,:;]?\s*)+[\]})]?\s*[,;]?\s*$""", re.I)
-_RUN = re.compile(r"""(\s*[-+]?(0x[0-9a-f]+|\d[\d._]*)\s*,){12,}|["'][A-Za-z0-9+/=_-]{100,}|["']([0-9a-f]{2}){60,}|(\\x[0-9a-f]{2}){20,}""", re.I)
+#: A number or a quoted text. All quantifiers are possessive, so every pattern below takes linear time.
+_NUMBER = r"[-+]?+(?>0x[0-9a-f]++|\d[\d._]*+(?:e[-+]?+\d++)?+[lfu]*+)"
+_ONE = rf"""(?>"[^"\n]*+"|'[^'\n]*+'|{_NUMBER}|(?:null|none|nil|true|false)\b)"""
+#: A line of literals only, with separators or white space between them.
+_LITERAL = re.compile(rf"^\s*+[\[{{(]?+\s*+{_ONE}(?:(?:\s*+[,:;]\s*+|\s++){_ONE})*+\s*+[,:;]?+\s*+[\]}})]?+\s*+[,;]?+\s*+$", re.I)
+#: Twelve numbers in a row, or a long run of encoded bytes.
+_RUN = re.compile(rf"""(?<![\w.]){_NUMBER}\s*+,(?:\s*+{_NUMBER}\s*+,){{11}}|["'](?:[A-Za-z0-9+/=_-]{{100}}|(?:[0-9a-f]{{2}}){{60}})|(?:\\x[0-9a-f]{{2}}){{20}}""", re.I)
 
 
 def looks_like_data(head: str) -> bool:
@@ -116,30 +135,33 @@ def looks_minified(head: str) -> bool:
     return space < 0.12 and len(names) >= 8 and short >= 0.5 * len(names) and bool(re.search(r"[;,}]", longest))
 
 
-def file_kind(path: str | None, size: int | None, head: str | None, automaton: ahocorasick.Automaton) -> str | None:
-    """The first kind that applies, or None for hand-written source."""
+def file_kind(path: str | None, size: int | None, head: str | None, automaton: ahocorasick.Automaton, language: str | None = None, data_bytes: int = DATA_BYTES) -> str | None:
+    """The first kind that applies, or None for hand-written source.
+
+    ``language`` is often wrong, so it only speaks for files whose name has no suffix.
+    """
     parts = re.sub(r"/+", "/", (path or "").strip().replace("\\", "/").lower()).split("/")
     folders, name = [x for x in parts[:-1] if x not in ("", ".")], parts[-1]
     head = head or ""
     for i, folder in enumerate(folders):
         after = folders[i + 1] if i + 1 < len(folders) else ""
-        if folder in VENDORED or (folder in VERSIONED and _PACKAGE.match(after)):
+        if folder in VENDORED or (folder in VERSIONED and _PACKAGE.match(after) and _RELEASE.search(after)):
             return "third_party"
     if MADE_NAME.search(name) or LOCK_NAME.search(name) or any(x in MACHINE_MADE for x in folders) or (head and has_notice(head, automaton)):
         return "generated"
-    script = re.search(r"\.(m?js|cjs|css)$", name)
+    script = re.search(r"\.(m?js|cjs|css)$", name) or ("." not in name and (language or "").strip().lower() in SCRIPTS)
     if SMALL_NAME.search(name) or (script and any(x in BUILT for x in folders)) or (head and looks_minified(head)):
         return "minified"
-    if head and looks_like_data(head) or (not head.strip() and (size or 0) >= DATA_BYTES):
+    if head and looks_like_data(head) or (not head.strip() and (size or 0) >= data_bytes):
         return "data"
     return None
 
 
-def classify_files(files: DataFrame, third_party: DataFrame) -> DataFrame:
+def classify_files(files: DataFrame, third_party: DataFrame, *, data_bytes: int = DATA_BYTES) -> DataFrame:
     """``file_id`` and ``kind`` of files that are not hand-written, each pair once.
 
-    ``files``: file_id, rel_path, byte_size, content_hash, head_text; ``third_party``:
-    content_hash. Kinds: generated, minified, third_party, data. A file delivered several times
+    ``files``: file_id, rel_path, byte_size, language, content_hash, head_text; ``third_party``:
+    content_hash. A file of ``data_bytes`` bytes or more without first lines holds data. Kinds: generated, minified, third_party, data. A file delivered several times
     is judged by each delivery. Null or empty paths, sizes and first lines say nothing; a null
     file_id gives no row; blank hashes match nothing; letter case and surrounding white space
     of hashes and paths do not matter. Long first lines are read whole. Extra columns are
@@ -150,11 +172,11 @@ def classify_files(files: DataFrame, third_party: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = notice_automaton()
         for b in batches:
-            kinds = [file_kind(p, s, h, automaton) for p, s, h in zip(*(b.column(c).to_pylist() for c in ("rel_path", "byte_size", "head_text")))]
+            kinds = [file_kind(p, s, h, automaton, x, data_bytes) for p, s, h, x in zip(*(b.column(c).to_pylist() for c in ("rel_path", "byte_size", "head_text", "language")))]
             out = pa.RecordBatch.from_arrays([b.column("file_id"), pa.array(kinds, pa.string())], names=["file_id", "kind"])
             yield out.filter(pc.is_valid(out.column("kind")))
 
-    by_look = files.select("file_id", "rel_path", F.col("byte_size").cast("bigint").alias("byte_size"), "head_text").mapInArrow(run, "file_id string, kind string")
+    by_look = files.select("file_id", "rel_path", F.col("byte_size").cast("bigint").alias("byte_size"), "head_text", "language").mapInArrow(run, "file_id string, kind string")
     known = third_party.select(fold_key(F.col("content_hash")).alias("h")).where("h <> ''").distinct()
     by_hash = files.select("file_id", fold_key(F.col("content_hash")).alias("h")).where("h <> ''").join(known, "h", "left_semi").select("file_id", F.lit("third_party").alias("kind"))
     return by_look.unionByName(by_hash).distinct()

@@ -1,4 +1,7 @@
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm.handwritten import classify_files, file_kind, notice_automaton
 
@@ -45,7 +48,27 @@ def test_other_kinds(kind, path, size, head):
 
 
 def test_table(spark):
-    f = spark.createDataFrame([("1", "src/a.ts", 5, "H1 ", "import x", "z"), ("1", "src/a.ts", 5, "H1", "import x", "z"), ("2", "src/b.ts", 5, None, None, "z"), ("2", "src/b.ts", 5, None, "// @generated by x", "z"), ("3", "src/c.ts", 5, "", "x" * 100_000, "z"), (None, "a.min.js", 5, None, None, "z")], "file_id string, rel_path string, byte_size bigint, content_hash string, head_text string, kind string")
+    f = spark.createDataFrame([("1", "src/a.ts", 5, "H1 ", "import x", "z"), ("1", "src/a.ts", 5, "H1", "import x", "z"), ("2", "src/b.ts", 5, None, None, "z"), ("2", "src/b.ts", 5, None, "// @generated by x", "z"), ("3", "src/c.ts", 5, "", "x" * 100_000, "z"), (None, "a.min.js", 5, None, None, "z")], "file_id string, rel_path string, byte_size bigint, content_hash string, head_text string, kind string").withColumn("language", F.lit("go"))
     t = spark.createDataFrame([("h1", "p"), (" ", "p"), (None, "p")], "content_hash string, package_name string")
     assert sorted(map(tuple, classify_files(f, t).collect())) == [("1", "third_party"), ("2", "generated")]
     assert classify_files(f.limit(0), t).isEmpty() and sorted(r.file_id for r in classify_files(f, t.limit(0)).collect()) == ["2"]
+
+
+@pytest.mark.parametrize(
+    "head",
+    [
+        "a\n" + "1" * 10_000 + " # text\nb\nc", "a\n    0x" + "0123456789abcdef" * 100 + " done\nb\nc", "1 " * 100_000 + "x", "1," * 11 + " " * 100_000 + "x", "'" * 100_000,
+        "/*" * 50_000 + "generated by " * 20_000, "// x generated by " * 20_000, '"' + "A" * 99 + '"' * 50_000, "-1" * 100_000, "1e" * 100_000, "a" * 300_000, "\\x0" * 100_000,
+    ],
+)
+def test_linear_time(head):
+    began = time.perf_counter()
+    file_kind("a/b.py", 5, head, A)
+    file_kind("lib/" + head.replace("\n", ""), 5, None, A)
+    assert time.perf_counter() - began < 1
+
+
+def test_language_speaks_for_names_without_suffix():
+    assert file_kind("web/dist/app", 5, None, A, " JavaScript") == "minified"
+    assert file_kind("web/dist/app", 5, None, A, "go") is None and file_kind("web/dist/app.go", 5, None, A, "javascript") is None
+    assert file_kind("a.py", 100, "", A, None, data_bytes=100) == "data" and file_kind("a.py", 100, "", A) is None
