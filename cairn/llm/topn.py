@@ -1,9 +1,9 @@
 """Top N items within every group.
 
-Each partition finds the N-th best of its own items of a group; the group's N-th best is at
-least as good, so the best of these bounds over all partitions is a bound too. Rows worse than
-their group's bound go; the survivors, of which a hot group keeps about N for each partition,
-are ranked exactly.
+Each partition sorts its items by group and order and keeps the first N of every group. The
+last of these, the partition's N-th best, is a lower bound of the group's N-th best, so the
+best of a group's bounds over all partitions is a bound too. The bounds are joined, rows worse
+than their group's bound go, and the survivors are ranked exactly.
 """
 
 from __future__ import annotations
@@ -11,38 +11,43 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 
-def local_bounds(items: DataFrame, n: int, min_share: float) -> DataFrame:
-    """For each partition and each group that it holds at least ``n`` rows of, the n-th best."""
-    schema = T.StructType([items.schema["grp"], items.schema["a"], items.schema["b"], items.schema["tie"]])
-    by = ["grp", "a", "b", "tie"]
-    order = [True, False, False, True]
+
+def local_firsts(items: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of each group in each partition, with their place ``pos`` from 0.
+
+    ``items``: grp, a, b, tie. The partition is sorted outside Python, where it may spill, and
+    streamed: one batch of rows is held, whatever the number of groups or their size.
+    """
+    schema = items.select("grp", "a", "b", "tie").schema.add("pos", T.IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, seen, arrow = None, None, None
+        last, seen = None, 0
         for batch in batches:
-            arrow = batch.schema
-            part = batch.to_pandas()
-            count = part.groupby("grp", sort=False).size()
-            seen = count if seen is None else seen.add(count, fill_value=0)
-            both = part if best is None else pd.concat([best, part], ignore_index=True)
-            best = both.sort_values(by, ascending=order).groupby("grp", sort=False).head(n)
-        if best is None:
-            return
-        large = seen[seen >= max(n, min_share * seen.sum())].index
-        bound = best[best["grp"].isin(large)].groupby("grp", sort=False).nth(n - 1)
-        yield pa.RecordBatch.from_pandas(bound[by].reset_index(drop=True), schema=arrow, preserve_index=False)
-
-    return items.select(*by).mapInArrow(run, schema)
-
-
-def top_n(items: DataFrame, group: str, score: str, second: str, tie: str, n: int, *, min_share: float = 0.001) -> DataFrame:
+            if not batch.num_rows:
+                continue
+            grp = batch.column("grp")
+            starts = np.flatnonzero(pc.not_equal(grp.slice(1), grp.slice(0, len(grp) - 1)).to_numpy(zero_copy_only=False)) + 1
+            starts = np.concatenate([[0], starts])
+            sizes = np.diff(np.append(starts, len(grp)))
+            pos = np.arange(len(grp)) - np.repeat(starts, sizes)
+            if grp[0].as_py() == last:  # the batch goes on with the group of the last one
+                pos[: sizes[0]] += seen
+            last, seen = grp[-1].as_py(), int(pos[-1]) + 1
+            keep = pos < n
+            yield pa.RecordBatch.from_arrays([*batch.filter(pa.array(keep)).columns, pa.array(pos[keep].astype(np.int32))], names=[*batch.schema.names, "pos"])
+
+    return items.select("grp", "a", "b", "tie").sortWithinPartitions("grp", F.desc("a"), F.desc("b"), F.asc_nulls_last("tie")).mapInArrow(run, schema)
+
+
+def top_n(items: DataFrame, group: str, score: str, second: str, tie: str, n: int) -> DataFrame:
     """The first ``n`` rows of each ``group`` by score and second descending, then tie ascending.
 
     Result: the four columns and ``rank`` (1..n). Null and NaN score and null second count as
@@ -50,9 +55,9 @@ def top_n(items: DataFrame, group: str, score: str, second: str, tie: str, n: in
     columns are told apart by nothing: each takes a rank of its own. Fewer than n rows give all
     of them, an empty table an empty result; other columns are dropped before anything moves.
 
-    A partition gives bounds for groups with at least ``min_share`` of its rows, so at most
-    1/min_share rows a partition; smaller groups need none. Spark broadcasts the bounds if they
-    are below its threshold and joins by shuffle otherwise.
+    At most n rows of a group leave a partition, so a hot group is small before it is shuffled.
+    Its partitions' firsts are written once and read twice: for the bounds, one row a group
+    combined before their shuffle, and for the join with them.
     """
     clean = items.where(F.col(group).isNotNull()).select(
         F.col(group).alias("grp"),
@@ -60,13 +65,13 @@ def top_n(items: DataFrame, group: str, score: str, second: str, tie: str, n: in
         F.coalesce(F.col(second).cast("bigint"), F.lit(0)).alias("b"),
         F.col(tie).alias("tie"),
     )
-    bounds = local_bounds(clean.where(F.col("tie").isNotNull()), n, min_share)
-    # The best bound: highest a, then highest b, then lowest tie.
-    best = bounds.groupBy("grp").agg(F.min(F.struct((-F.col("a")).alias("a"), (-F.col("b")).alias("b"), F.col("tie").alias("tie"))).alias("k"))
-    best = best.select("grp", (-F.col("k.a")).alias("a0"), (-F.col("k.b")).alias("b0"), F.col("k.tie").alias("t0"))
-    keep = F.col("a0").isNull() | (F.col("a") > F.col("a0")) | ((F.col("a") == F.col("a0")) & ((F.col("b") > F.col("b0")) | ((F.col("b") == F.col("b0")) & (F.col("tie") <= F.col("t0")))))
+    firsts = cut(local_firsts(clean, n))
+    # The best bound is the highest a, then the highest b, then the lowest tie, a null one last.
+    key = F.struct((-F.col("a")).alias("a"), F.bitwise_not("b").alias("b"), F.col("tie").isNull().alias("none"), F.col("tie").alias("tie"))
+    best = firsts.where(F.col("pos") == n - 1).groupBy("grp").agg(F.min(key).alias("bound"))
     w = Window.partitionBy("grp").orderBy(F.desc("a"), F.desc("b"), F.asc_nulls_last("tie"))
-    ranked = clean.join(best, "grp", "left").where(keep).select("grp", "a", "b", "tie").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    left = firsts.join(best, "grp", "left").where(F.col("bound").isNull() | (key <= F.col("bound"))).select("grp", "a", "b", "tie")
+    ranked = left.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     return ranked.select(F.col("grp").alias(group), F.col("a").alias(score), F.col("b").alias(second), F.col("tie").alias(tie), "rank")
 
 
