@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -111,3 +113,77 @@ def test_a_neighbour_decides_only_among_likely_languages():
     assert langs("english", "english", "either", "either") == [("en", 2), ("da", 2)]
     assert langs("english", "either", "danish") == [("en", 1), ("da", 2)]
     assert langs("english", "unsure", "english") == [("en", 3)]
+
+
+def test_labels_of_all_languages():
+    assert len({c for c in L.NAMES.values()}) >= 180
+    want = {"ga": "ga", "gle": "ga", "Irish": "ga", "af-ZA": "af", "MSA": "ms", "cym": "cy", "wel": "cy", "Scottish Gaelic": "gd", "pt_BR.UTF-8": "pt", "english (us)": "en", "cmn": "zh", "tgl": "tl", "Swahili": "sw", "\tfr\n": "fr", "qaa": None, "english text": None}
+    assert {k: L.label_code(k) for k in want} == want
+
+
+def test_quotations_and_words_of_any_length():
+    for a, b in ('""', "``", "<>", "\u201c\u201d", "\u201e\u201c", "\u00ab\u00bb", "\u300c\u300d"):
+        text = "The list is read twice " + a + "und niemand weiss warum " * 100 + b + " in this house."
+        assert [w for _, _, w in L.sentences(text)] == [["the", "list", "is", "read", "twice", "in", "this", "house"]], a
+    assert [len(w) for _, _, w in L.sentences('A mark of 5" opens nothing here.\nAnd neither < does that today.')] == [6, 5]
+    long = "donaudampfschifffahrtsgesellschaftskapitaenskajuetenschluessel"
+    assert long in L.sentences(f"Der {long} ist leider nicht mehr da.")[0][2]
+    assert L.sentences("iciaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" + "a" * 500 + " encore une fois.")[0][2][0] == "icia"
+    assert L.sentences("x" * 2_000_000) == []
+
+
+@pytest.mark.parametrize("text", ['"' * 300_000, "<a " * 200_000, "`" * 300_000, "```" * 100_000, "~~~\n" * 100_000, "at " * 200_000, "a(" * 200_000, "." * 300_000, "!?" * 200_000, "[1" * 200_000, "a\u00c3" * 200_000, "\u201e" * 300_000])
+def test_linear_time(text):
+    began = time.perf_counter()
+    L.sentences(text)
+    assert time.perf_counter() - began < 8
+
+
+def test_batches_equal_single_texts(spark, model):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(400).collect()
+    texts = [r.text for r in rows] + [None, "", " ", SAMPLES["en"] * 300, "日本語" * 2000]
+    short = lambda found: [(*x[:4], round(x[4], 3), x[5]) for x in found]
+    want = [short(L.document_segments(t, model)) for t in texts]
+    assert [short(x) for x in L.batch_segments(texts, model)] == want
+    step, memo = L.STEP, L.MEMO
+    try:
+        L.STEP, L.MEMO = 7, 20
+        assert [short(x) for x in L.batch_segments(texts, model)] == want
+    finally:
+        L.STEP, L.MEMO = step, memo
+
+
+def test_planted_stretches(spark):
+    """Stretches of two or three sentences of held-out texts, set after one another: languages, ends and confidence."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    m = L.train(L.training_sample(d.where("doc_id % 2 = 0"), 300))
+    random, by = np.random.default_rng(1), {}
+    for r in d.where("doc_id % 2 = 1 and n_chars between 80 and 3000").select("text", "lang").orderBy("doc_id").limit(3000).collect():
+        code, found = L.label_code(r.lang), L.document_segments(r.text, m)
+        if code and len(found) == 1 and found[0][3] == code and found[0][2] >= 3:  # what label and text agree on
+            by.setdefault(code, []).append([r.text[a:b].strip() for a, b, _ in L.sentences(r.text)])
+    langs = sorted(x for x, v in by.items() if len(v) >= 20)
+    assert len(langs) >= 6
+    right = total = 0
+    sure, good = [], []
+    for _ in range(400):
+        a, b = random.choice(langs, 2, replace=False)
+        one, two = (by[x][random.integers(len(by[x]))][: 2 + random.integers(2)] for x in (a, b))
+        text = " ".join(one) + "\n" + " ".join(two)
+        cut, found = len(" ".join(one)), L.document_segments(text, m)
+        for lo, hi, want in ((0, cut, a), (cut, len(text), b)):
+            inside = [x for x in found if x[3] == want and min(x[1], hi) - max(x[0], lo) > 0.8 * (hi - lo)]
+            total, right = total + 1, right + bool(inside)
+        for x in found:
+            sure.append(x[4])
+            good.append(x[3] == (a if (x[0] + x[1]) / 2 < cut else b))
+    sure, good = np.array(sure), np.array(good)
+    print("stretches found", right / total, "right", good.mean(), "mean confidence", sure.mean())
+    assert right / total > 0.95 and good.mean() > 0.95 and abs(sure.mean() - good.mean()) < 0.05
+
+
+def test_repeated_texts_count_under_their_usual_label(spark):
+    rows = [("The list is read twice here.", "en")] * 5 + [("The list is read twice here.", "nl")] * 2 + [("Dat moeten we opschrijven.", "nl"), ("Nobody knows yet why.", "en"), ("Nobody knows yet why.", "nl")]
+    d = spark.createDataFrame(rows, "text string, lang string")
+    assert sorted(set(L.training_sample(d))) == [("Dat moeten we opschrijven.", "nl"), ("The list is read twice here.", "en")]
+    assert L.training_sample(d.limit(0)) == []
