@@ -5,21 +5,30 @@ sorted and every other item, from a random start, moves up; so sketches of parts
 level by level. Capacities shrink by ``SHRINK`` from the top level down, which keeps the rank
 error of any quantile below ``rank_error(k)`` with probability 0.99.
 
-The start of each compaction is drawn from a sequence seeded by the group, the part and the
-number of values, so a task that runs again gives the same sketch.
+The start of each compaction is drawn from a sequence seeded by the group and the partition. A
+task that runs again over the same rows in the same order gives the same sketch; after a
+shuffle the order may differ, and then so does the sketch, within the same bound. Merging
+sorts its parts first and depends on them alone.
+
+Groups that fit the lowest level need no compaction: they stay arrays side by side and become
+rows without an object of their own, so many small groups cost little more than their values.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Capacity of a level as a share of the one above it, and the smallest capacity.
 SHRINK, LEAST = 2 / 3, 8
 _WORD = (1 << 64) - 1
@@ -79,13 +88,13 @@ class Sketch:
             self.levels[0] = np.concatenate([self.levels[0], values[i : i + step]])
             self._compress()
 
-    def merge(self, n: int, low: float, high: float, levels: list[np.ndarray]) -> None:
-        """Take in another sketch, level by level."""
+    def merge(self, n: int, low: float, high: float, *others: list[np.ndarray]) -> None:
+        """Take in the levels of other sketches, level by level; n, low and high are those of all of them."""
         self.n, self.low, self.high = self.n + n, min(self.low, low), max(self.high, high)
-        while len(self.levels) < len(levels):
-            self.levels.append(np.empty(0))
-        for h, x in enumerate(levels):
-            self.levels[h] = np.concatenate([self.levels[h], x])
+        for h in range(max(map(len, others))):
+            if h == len(self.levels):
+                self.levels.append(np.empty(0))
+            self.levels[h] = np.concatenate([self.levels[h], *(x[h] for x in others if len(x) > h)])
         self._compress()
 
     def quantiles(self, ps: list[float]) -> list[float]:
@@ -107,8 +116,82 @@ _SKETCH = pa.schema([("n", pa.int64()), ("low", pa.float64()), ("high", pa.float
 _SKETCH_SQL = "n bigint, low double, high double, levels array<array<double>>"
 
 
-def _row(s: Sketch) -> tuple:
-    return s.n, s.low, s.high, [x.tolist() for x in s.levels]
+#: Rows that a worker holds before it looks at them, and small groups' values that it keeps.
+_FOLD, _KEEP = 1 << 18, 1 << 21
+
+
+def _sketch_batch(schema: pa.Schema, groups: list[tuple], n, low, high, outer, inner, values) -> pa.RecordBatch:
+    """Rows of sketches from their levels laid out in one array."""
+    levels = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(values, pa.float64())))
+    keys = [pa.array(c, pa.string()) for c in zip(*groups)] if groups else []
+    return pa.RecordBatch.from_arrays([*keys, pa.array(n, pa.int64()), pa.array(low, pa.float64()), pa.array(high, pa.float64()), levels], schema=schema)
+
+
+def _batches(schema: pa.Schema, rows: list[tuple[tuple, Sketch]], size: int = 500) -> Iterator[pa.RecordBatch]:
+    """Rows of sketches, some at a time."""
+    for i in range(0, len(rows), size):
+        part = [s for _, s in rows[i : i + size]]
+        lists = [x for s in part for x in s.levels]
+        outer, inner = np.cumsum([0, *(len(s.levels) for s in part)]), np.cumsum([0, *map(len, lists)])
+        yield _sketch_batch(schema, [g for g, _ in rows[i : i + size]], [s.n for s in part], [s.low for s in part], [s.high for s in part], outer, inner, np.concatenate(lists))
+
+
+def _row_levels(levels: pa.ListArray):
+    """A function that gives the levels of a row, without copies."""
+    outer, inner, values = levels.offsets.to_numpy(), levels.values.offsets.to_numpy(), levels.values.values.to_numpy(zero_copy_only=False)
+    return lambda i: [values[inner[j] : inner[j + 1]] for j in range(outer[i], outer[i + 1])]
+
+
+class _Folder:
+    """Values of the groups of one partition, small groups as arrays, large ones as sketches."""
+
+    def __init__(self, schema: pa.Schema, k: int, part: int):
+        self.schema, self.k, self.part = schema, k, part
+        self.ids: dict[tuple, int] = {}
+        self.sketches: dict[int, Sketch] = {}
+        self.code, self.value, self.held = [], [], 0
+
+    def add(self, names: list[list], code: np.ndarray, value: np.ndarray) -> None:
+        """``code`` counts in mixed radix over the ``names`` of the keys."""
+        distinct, at = np.unique(code, return_inverse=True)
+        ids = []
+        for rest in distinct.tolist():
+            g = []
+            for ns in reversed(names):
+                rest, i = divmod(rest, len(ns))
+                g.append(ns[i])
+            ids.append(self.ids.setdefault(tuple(reversed(g)), len(self.ids)))
+        self.code.append(np.array(ids, np.int64)[at])
+        self.value.append(value)
+        self.held += len(value)
+
+    def fold(self) -> None:
+        """Sort what is held by group; what exceeds the lowest level goes into sketches."""
+        code, value = np.concatenate(self.code), np.concatenate(self.value)
+        order = np.lexsort((value, code))
+        code, value = code[order], value[order]
+        edges = np.searchsorted(code, np.arange(len(self.ids) + 1))
+        large = np.diff(edges) > self.k
+        large[list(self.sketches)] = True
+        groups = list(self.ids)
+        for i in np.flatnonzero(large).tolist():
+            if i not in self.sketches:
+                self.sketches[i] = Sketch(self.k, _seed(groups[i], self.part))
+            self.sketches[i].add(value[edges[i] : edges[i + 1]])
+        small = ~large[code]
+        self.code, self.value, self.held = [code[small]], [value[small]], int(small.sum())
+
+    def give(self) -> Iterator[pa.RecordBatch]:
+        """All sketches, after which the folder is empty."""
+        self.fold()
+        groups, code, value = list(self.ids), self.code[0], self.value[0]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(code)) + 1, [len(code)]]) if len(code) else np.zeros(1, int)
+        for i in range(0, len(edges) - 1, 2000):
+            e = edges[i : i + 2001]
+            first, last = e[:-1], e[1:] - 1
+            yield _sketch_batch(self.schema, [groups[c] for c in code[first].tolist()], np.diff(e), value[first], value[last], np.arange(len(e)), e - e[0], value[e[0] : e[-1]])
+        yield from _batches(self.schema, [(groups[i], s) for i, s in self.sketches.items()])
+        self.__init__(self.schema, self.k, self.part)
 
 
 def sketch_parts(values: DataFrame, keys: list[str], k: int = 400, most_groups: int = 20_000) -> DataFrame:
@@ -121,68 +204,79 @@ def sketch_parts(values: DataFrame, keys: list[str], k: int = 400, most_groups:
     source = values.where("value is not null and not isnan(value)").select(*(F.col(c).cast("string").alias(c) for c in keys), F.col("value").cast("double").alias("value"))
     schema = pa.schema([(c, pa.string()) for c in keys] + list(_SKETCH))
 
-    def give(sketches: dict[tuple, Sketch]) -> Iterator[pa.RecordBatch]:
-        rows = [(*g, *_row(s)) for g, s in sketches.items()]
-        for i in range(0, len(rows), 500):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 500]), schema)], schema=schema)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketches: dict[tuple, Sketch] = {}
+        folder = _Folder(schema, k, TaskContext.get().partitionId())
         for batch in batches:
             if not batch.num_rows:
                 continue
-            value = batch.column("value").to_numpy(zero_copy_only=False)
-            code = np.zeros(batch.num_rows, np.int64)
-            names = []
+            code, names = np.zeros(batch.num_rows, np.int64), []
             for c in keys:
                 d = batch.column(c).dictionary_encode(null_encoding="encode")
                 names.append(d.dictionary.to_pylist())
                 code = code * len(names[-1]) + d.indices.to_numpy()
-            order = np.argsort(code, kind="stable")
-            cuts = np.flatnonzero(np.diff(code[order])) + 1
-            for part in np.split(order, cuts):
-                g, rest = [], int(code[part[0]])
-                for ns in reversed(names):
-                    rest, i = divmod(rest, len(ns))
-                    g.append(ns[i])
-                g = tuple(reversed(g))
-                if g not in sketches:
-                    sketches[g] = Sketch(k, _seed(g, float(value[part[0]]), len(part)))
-                sketches[g].add(value[part])
-            if len(sketches) > most_groups:
-                yield from give(sketches)
-                sketches = {}
-        if sketches:
-            yield from give(sketches)
+            folder.add(names, code, batch.column("value").to_numpy(zero_copy_only=False))
+            if folder.held >= _FOLD:
+                folder.fold()
+            if len(folder.ids) > most_groups or folder.held > _KEEP:
+                yield from folder.give()
+        if folder.ids:
+            yield from folder.give()
 
     return source.mapInArrow(run, ", ".join(f"`{c}` string" for c in keys) + ", " + _SKETCH_SQL)
 
 
-def merge_sketches(parts: DataFrame, keys: list[str], k: int = 400, fan_in: int = 64) -> DataFrame:
+def merge_sketches(parts: DataFrame, keys: list[str], k: int = 400, fan_in: int = 64, *, written: bool = False) -> DataFrame:
     """One sketch for each value of ``keys``, merged level by level from the rows of ``parts``.
 
-    ``keys`` may be fewer than those of the parts: days or partitions then add up. Parts merge
-    ``fan_in`` to one in rounds until the group is one sketch, so no task gets all parts of a
-    hot group: the number of rounds follows the number of partitions, as set for shuffles.
+    ``keys`` may be fewer than those of the parts: days or partitions then add up. The parts are
+    written first, unless they are ``written`` already, and counted by group; as long as a group
+    has more than ``fan_in`` of them, its parts merge ``fan_in`` to one in rounds. A task streams
+    the parts of a group in a fixed order and holds one sketch, however many there are.
     """
     schema = pa.schema([(c, pa.string()) for c in keys] + list(_SKETCH))
     sql = ", ".join(f"`{c}` string" for c in keys) + ", " + _SKETCH_SQL
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("n", "ascending"), ("low", "ascending"), ("high", "ascending")])
-        g = tuple(t[c][0].as_py() for c in keys)
-        s = Sketch(k, _seed(g, t.num_rows, t["n"][0].as_py()))
-        for n, low, high, levels in zip(t["n"].to_pylist(), t["low"].to_pylist(), t["high"].to_pylist(), t["levels"].to_pylist()):
-            s.merge(n, low, high, [np.array(x, float) for x in levels])
-        return pa.table([pa.array([x], f.type) for x, f in zip((*g, *_row(s)), schema)], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sketch, done = None, None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fresh = np.zeros(b.num_rows, bool)
+            for c in (*keys, "_fan"):
+                d = b.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                fresh[1:] |= d[1:] != d[:-1]
+            edges = [0, *np.flatnonzero(fresh).tolist(), b.num_rows]
+            n, low, high = (b.column(c).to_numpy() for c in ("n", "low", "high"))
+            levels = _row_levels(b.column("levels"))
+            for x, y in zip(edges, edges[1:]):
+                g = tuple(b.column(c)[x].as_py() for c in (*keys, "_fan"))
+                if g != last:
+                    if sketch:
+                        done.append((last[:-1], sketch))
+                    last, sketch = g, Sketch(k, _seed(g))
+                sketch.merge(int(n[x:y].sum()), float(low[x:y].min()), float(high[x:y].max()), *map(levels, range(x, y)))
+            if len(done) >= 500:
+                yield from _batches(schema, done)
+                done = []
+        if sketch:
+            yield from _batches(schema, [*done, (last[:-1], sketch)])
+
+    def merged(rows: DataFrame) -> DataFrame:
+        one = rows.select(*keys, "_fan", "n", "low", "high", "levels").repartition(*keys, "_fan")
+        return one.sortWithinPartitions(*keys, "_fan", "n", "low", "high", F.xxhash64("levels")).mapInArrow(run, sql)
 
     parts = parts.select(*keys, "n", "low", "high", "levels")
-    spark = parts.sparkSession
-    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    while most > fan_in:
-        most = -(-most // fan_in)
-        parts = parts.withColumn("_fan", F.pmod(F.xxhash64("n", "low", "high", F.spark_partition_id()), F.lit(most))).groupBy(*keys, "_fan").applyInArrow(run, sql)
-    return parts.groupBy(*keys).applyInArrow(run, sql)
+    parts = parts if written else cut(parts)
+    while True:
+        counts = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_parts"))
+        # Groups with more parts than fit one merge: at most one for each fan_in rows.
+        hot = counts.where(F.col("_parts") > fan_in).select(*(F.col(c).alias(f"_{c}") for c in keys), F.ceil(F.col("_parts") / fan_in).alias("_fans"))
+        if hot.isEmpty():
+            return merged(parts.withColumn("_fan", F.lit(0).cast("bigint")))
+        same = functools.reduce(lambda a, c: a & c, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys), F.lit(True))
+        # Dealt by the place in the written files, which a task that runs again finds unchanged.
+        dealt = parts.withColumn("_id", F.monotonically_increasing_id()).join(hot, same, "left")
+        parts = cut(merged(dealt.withColumn("_fan", F.pmod("_id", F.coalesce("_fans", F.lit(1))))))
 
 
 def sketch_quantiles(sketches: DataFrame, keys: list[str], ps: list[float], k: int = 400) -> DataFrame:
@@ -190,14 +284,17 @@ def sketch_quantiles(sketches: DataFrame, keys: list[str], ps: list[float], k: i
     schema = pa.schema([(c, pa.string()) for c in keys] + [("n", pa.int64()), ("p", pa.float64()), ("value", pa.float64()), ("rank_error", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                s = Sketch(k, 0)
-                s.levels, s.low, s.high = [np.array(x, float) for x in r["levels"]], r["low"], r["high"]
-                error = rank_error(k) if len(s.levels) > 1 else 0.0
-                rows += [(*(r[c] for c in keys), r["n"], p, v, error) for p, v in zip(ps, s.quantiles(ps))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            levels, low, high = _row_levels(b.column("levels")), b.column("low").to_numpy(), b.column("high").to_numpy()
+            out, error = np.empty((b.num_rows, len(ps))), np.zeros(b.num_rows)
+            s = Sketch(k, 0)
+            for i in range(b.num_rows):
+                s.levels, s.low, s.high = levels(i), low[i], high[i]
+                out[i] = s.quantiles(ps)
+                error[i] = rank_error(k) if len(s.levels) > 1 else 0.0
+            again = pa.array(np.repeat(np.arange(b.num_rows), len(ps)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(again) for c in (*keys, "n")), pa.array(np.tile(ps, b.num_rows)), pa.array(out.ravel()), pa.array(np.repeat(error, len(ps)))], schema=schema)
 
     return sketches.mapInArrow(run, ", ".join(f"`{c}` string" for c in keys) + ", n bigint, p double, value double, rank_error double")

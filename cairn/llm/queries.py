@@ -60,7 +60,7 @@ def p3_quantiles(spark: SparkSession, root: str) -> DataFrame:
     """
     keys = ["variant", "category", "measure"]
     days = cut(merge_sketches(sketch_parts(_measures(spark, root), ["day", *keys]), ["day", *keys]))
-    every = merge_sketches(days, keys).select(F.lit(None).cast("string").alias("day"), *keys, "n", "low", "high", "levels")
+    every = merge_sketches(days, keys, written=True).select(F.lit(None).cast("string").alias("day"), *keys, "n", "low", "high", "levels")
     return sketch_quantiles(days.unionByName(every), ["day", *keys], _PS)
 
 

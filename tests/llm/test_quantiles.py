@@ -71,3 +71,25 @@ def test_hot_group_and_days(spark):
     assert got["hot"][0] == 20_000 and abs(got["hot"][1]) < 0.05
     again = {x.g: (x.n, x.value) for x in K.sketch_quantiles(K.merge_sketches(days, ["g"], fan_in=2), ["g"], [0.5]).collect()}
     assert got == again
+
+
+def test_many_parts_merge_in_rounds(spark, monkeypatch):
+    """A group with far more parts than shuffle partitions, as a scan of many splits gives."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=60_000)
+    parts = spark.createDataFrame([(None if i % 2 else "g", float(v)) for i, v in enumerate(x)], "g string, value double").repartition(40)
+    rows = K.sketch_parts(parts, ["g"], k=50, most_groups=0)
+    assert rows.count() > 60
+    rounds, cut = [], K.cut
+    monkeypatch.setattr(K, "cut", lambda df: rounds.append(1) or cut(df))
+    got = {v.g: v for v in K.sketch_quantiles(K.merge_sketches(rows, ["g"], k=50, fan_in=4), ["g"], [0.0, 0.5, 1.0], k=50).where("p = 0.5").collect()}
+    assert len(rounds) >= 3 and set(got) == {None, "g"}
+    for g, part in ((None, x[1::2]), ("g", x[::2])):
+        assert got[g].n == 30_000 and abs((part <= got[g].value).mean() - 0.5) < K.rank_error(50)
+
+
+def test_small_and_large_groups_in_one_partition(spark):
+    d = spark.range(300_000).selectExpr("concat('g', if(id % 3 = 0, 0, id % 9000)) g", "cast(id as double) value").coalesce(1)
+    got = {x.g: (x.n, x.value) for x in K.sketch_quantiles(K.sketch_parts(d, ["g"], most_groups=100_000), ["g"], [0.5]).collect()}
+    assert len(got) == 6001 and got["g0"][0] == 100_000 and abs(got["g0"][1] / 300_000 - 0.5) < K.rank_error(400)
+    assert got["g1"] == (34, float(1 + 9000 * 16))
