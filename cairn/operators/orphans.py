@@ -6,9 +6,11 @@ references of the range follow them in the same sorted stream, batch after batch
 probed by vectorised binary search. A task therefore holds the parents of one range and one
 batch of references, whatever the table's size.
 
-A hot key makes one range hot. Ranges are counted first (map-side combined, one row a range);
-a range over the target gets as many salts as it needs, its parents are sent to each salt and
-its references are spread over them.
+A parent's rows are reduced to its latest state before anything else, combined before their
+shuffle, so a range holds each of its keys once. A hot key of the references makes one range
+hot. Ranges are counted first (map-side combined, one row a range); a range over twice its
+share gets as many salts as it needs, its parents are sent to each salt and its references are
+spread over them. No task gets more rows of a range than that, however the table grows.
 """
 
 from __future__ import annotations
@@ -108,7 +110,7 @@ def _probe_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ).to_batches()
 
 
-def find_orphans(refs: DataFrame, parents: DataFrame, *, rows_per_range: int = 100_000, max_range_bits: int = 20) -> DataFrame:
+def find_orphans(refs: DataFrame, parents: DataFrame, *, rows_per_range: int = 50_000, max_range_bits: int = 20) -> DataFrame:
     """References whose key has no living parent at the time of the reference.
 
     ``refs``: ref_table, ref_id, key, ref_ts. ``parents``: key, version_ts (of several rows of a
@@ -132,14 +134,16 @@ def find_orphans(refs: DataFrame, parents: DataFrame, *, rows_per_range: int = 1
         F.col("gone").cast("boolean").alias("gone"),
     )
     place_bits = lambda n: (F.shiftright("digest", 64 - n) + (1 << (n - 1))).cast("int")
+    # The latest state of each key; null is less than any value.
+    parents = cut(parents.groupBy("key").agg(F.max(F.struct("ts", "since", "gone")).alias("s")).select("key", "s.ts", "s.since", "s.gone"))
     refs, parents = refs.withColumn("digest", F.xxhash64("key")), parents.withColumn("digest", F.xxhash64("key"))
     # One pass over the keys, combined before it moves: at most 2**max_range_bits rows of 12 bytes.
     fine = cut(refs.groupBy(place_bits(max_range_bits).alias("fine")).count())
     total = (fine.agg(F.sum("count")).first()[0] or 0) + parents.count()
     bits = min(max_range_bits, max(5, (total // rows_per_range).bit_length()))
-    target = max(2 * rows_per_range, 4 * (total >> bits))
+    target = 2 * max(rows_per_range, total >> bits)
     refs, parents = refs.withColumn("rng", place_bits(bits)), parents.withColumn("rng", place_bits(bits))
-    # One row for each hot range: at most 2**bits / 4 rows of 12 bytes, by the choice of target.
+    # One row for each hot range: at most 2**bits / 2 rows of 12 bytes, by the choice of target.
     counts = fine.groupBy(F.shiftright("fine", max_range_bits - bits).alias("rng")).agg(F.sum("count").alias("count"))
     hot = F.broadcast(counts.where(F.col("count") > target).select("rng", F.ceil(F.col("count") / target).cast("int").alias("salts")))
     salts = F.coalesce("salts", F.lit(1))
