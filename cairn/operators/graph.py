@@ -1,9 +1,9 @@
 """Graph algorithms as loops of joins, and the order-dependent ones on bounded groups.
 
 Edges are DataFrames of src and dst. A loop's state is cut by a checkpoint in the shared
-folder every few rounds, so plans stay short and a lost executor costs one round. Frontiers
-are distinct before each join, and partial sums are combined before each shuffle, so a hot
-node costs a row a partition.
+folder every round, so plans stay short and a lost executor costs one round. Frontiers are
+distinct before each join, partial sums are combined before each shuffle, and edges that a
+loop keeps placed spread a hot node over salts.
 """
 
 from __future__ import annotations
@@ -106,14 +106,18 @@ def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
     counted = inner.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k"))
     out = counted.groupBy("src").agg(F.sum("k").alias("out"))
     share = cut(counted.join(out, "src").select(F.col("src").alias("id"), "dst", (F.col("k") / F.col("out")).alias("share")))
-    state = nodes.withColumn("score", F.lit(1.0 / n))
+    # Only nodes with edges are told apart: all others have the score of a node that nobody sends to.
+    senders = cut(out.select(F.col("src").alias("id")))
+    state, rest = senders.withColumn("score", F.lit(1.0 / n)), 0.0
     with held(share, "id") as share:
         for _ in range(iterations):
-            got = cut(share.join(state, "id").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got")))
+            got = cut(share.meet(state).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got")))
             # What the senders sent arrived; the rest of the total of 1 lay in dangling nodes.
-            lost = 1 - (got.agg(F.sum("got")).first()[0] or 0.0)
-            state = nodes.join(got, "id", "left").select("id", ((1 - damping + damping * lost) / n + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        return cut(state)
+            rest = (1 - damping + damping * (1 - (got.agg(F.sum("got")).first()[0] or 0.0))) / n
+            state = senders.join(got, "id", "left").select("id", (rest + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+    if not iterations:
+        return nodes.withColumn("score", F.lit(1.0 / n))
+    return nodes.join(got, "id", "left").select("id", (rest + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
 
 
 def k_core(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
@@ -127,19 +131,20 @@ def k_core(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     inner = edges.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").where("src <> dst")
     both = cut(inner.select("src", "dst").unionByName(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     state = cut(both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("h")))
+    before = state.agg(F.sum("h")).first()[0]
     zero = F.lit(0).cast("bigint")
     with held(both, "dst") as both:
         for _ in range(most):
-            # A node needs only the histogram of its neighbours' bounds, capped at its own.
-            near = both.join(state.select(F.col("id").alias("dst"), F.col("h").alias("b")), "dst").groupBy("src", "b").agg(F.count(F.lit(1)).alias("c"))
+            # A node needs only the histogram of its neighbours' bounds.
+            near = both.meet(state.select(F.col("id").alias("dst"), F.col("h").alias("b"))).groupBy("src", "b").agg(F.count(F.lit(1)).alias("c"))
             hist = near.groupBy(F.col("src").alias("id")).agg(F.reverse(F.array_sort(F.collect_list(F.struct("b", "c")))).alias("hist"))
-            # Walked downwards: the largest b that at least b neighbours reach.
+            # Walked downwards: the largest b that at least b neighbours reach. It never rises.
             best = F.aggregate("hist", F.struct(zero.alias("seen"), zero.alias("best")), lambda acc, x: F.struct((acc["seen"] + x["c"]).alias("seen"), F.greatest(acc["best"], F.least(x["b"], acc["seen"] + x["c"])).alias("best")))
-            new = cut(hist.join(state, "id").select("id", "h", F.least("h", best["best"]).alias("best")))
-            moved = not new.where("best <> h").isEmpty()
-            state = new.select("id", F.col("best").alias("h"))
-            if not moved:
+            state = cut(hist.select("id", best["best"].alias("h")))
+            after = state.agg(F.sum("h")).first()[0]
+            if after == before:
                 break
+            before = after
         else:
             raise RuntimeError(f"coreness did not settle in {most} rounds")
     return nodes.join(state, "id", "left").select("id", F.coalesce("h", F.lit(0)).alias("coreness"))
@@ -158,7 +163,7 @@ def personal_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, itera
     kept = mass
     with held(share, "id") as share:
         for _ in range(iterations - 1):
-            mass = cut(share.join(mass, "id").groupBy(F.col("dst").alias("id")).agg(F.sum((1 - alpha) * F.col("r") * F.col("share")).alias("r")))
+            mass = cut(share.meet(mass).groupBy(F.col("dst").alias("id")).agg(F.sum((1 - alpha) * F.col("r") * F.col("share")).alias("r")))
             kept = kept.unionByName(mass)
     return kept.groupBy("id").agg(F.sum(alpha * F.col("r")).alias("score"))
 
@@ -191,16 +196,19 @@ def nearest_seed(edges: DataFrame, seeds: DataFrame, cap: float, rounds: int | N
     return state.select("id", F.col("s.d").alias("distance"), F.col("s.seed").alias("seed"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int = 1000) -> DataFrame:
     """``id`` and ``component`` (the smallest id in it) by alternating large and small stars.
 
     Each round a node links to the least of its neighbourhood; rounds grow with the logarithm
-    of the size and no neighbourhood is collected.
+    of the size and no neighbourhood is collected. The links have settled when a round gives
+    the same number of them with the same hashes; ``most`` rounds is a guard that raises.
     """
     e = edges.where("src is not null and dst is not null").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     ids = e.select(F.col("u").alias("id")).unionByName(e.select(F.col("v").alias("id"))).distinct()
     e = cut(e.where("u <> v"))
-    while True:
+    look = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+    before = look(e)
+    for _ in range(most):
         # Large star: neighbours larger than a node link to the least of its neighbourhood.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -208,10 +216,13 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours link to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = cut(small)
-        if small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty():
+        e = cut(small)
+        after = look(e)
+        if after == before:
             break
-        e = small
+        before = after
+    else:
+        raise RuntimeError(f"components did not settle in {most} rounds")
     return ids.join(e.select(F.col("u").alias("id"), "v"), "id", "left").groupBy("id").agg(F.coalesce(F.min("v"), F.col("id")).alias("component"))
 
 
@@ -265,7 +276,7 @@ def spread_labels(edges: DataFrame, rounds: int = 5) -> DataFrame:
     state = both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
     with held(both, "dst") as both:
         for _ in range(rounds):
-            votes = both.join(state.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("c"))
+            votes = both.meet(state.select(F.col("id").alias("dst"), "label")).groupBy("src", "label").agg(F.count(F.lit(1)).alias("c"))
             state = cut(votes.groupBy(F.col("src").alias("id")).agg(F.min(F.struct((-F.col("c")).alias("c"), "label")).alias("m")).select("id", F.col("m.label").alias("label")))
         return state
 

@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, shuffle: int = 8, app: str = "cairn") -> SparkSession:
@@ -71,18 +72,35 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-@contextmanager
-def held(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
-    """``df`` placed by its keys and kept while a loop joins it on them again and again.
+class Placed:
+    """Rows placed by a key and kept; ``meet`` joins a small side with one row a key to them."""
+
+    def __init__(self, rows: DataFrame, key: str, hot: DataFrame):
+        self.rows, self.key, self._hot = rows, key, hot
+
+    def meet(self, side: DataFrame) -> DataFrame:
+        """The placed rows joined with ``side`` on the key; a hot key's row goes to each of its salts."""
+        salts = side.join(self._hot, self.key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+        return self.rows.join(salts, [self.key, "_salt"]).drop("_salt")
 
-    The large side of such a join is then shuffled once and not in every round. What a lost
-    executor held is made again from ``df``, which should be a cut table. All uses have to be
-    written out before the block ends.
+
+@contextmanager
+def held(df: DataFrame, key: str, *, least: int = 5000) -> Iterator[Placed]:
+    """``df`` placed by a key and kept while a loop joins it again and again.
+
+    The large side of such a join is then shuffled once and not in every round. A key with more
+    than a quarter of a partition's rows (and ``least``) is spread over salts by its row's hash,
+    so no partition is much larger than the others; such keys are at most four a partition and
+    are broadcast. What a lost executor held is made again from ``df``, which should be a cut
+    table. All uses have to be written out before the block ends.
     """
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    kept = df.repartition(n, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+    limit = max(least, df.count() // (4 * n))
+    hot = F.broadcast(cut(df.groupBy(key).count().where(F.col("count") > limit).select(key, F.ceil(F.col("count") / limit).cast("int").alias("_salts"))))
+    salted = df.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    kept = salted.repartition(n, key, "_salt").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield kept
+        yield Placed(kept, key, hot)
     finally:
         kept.unpersist()
 
