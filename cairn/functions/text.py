@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,84 +57,138 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when((F.length(a) >= 3) & (F.length(b) >= 3) & (both > 0), F.size(F.array_intersect(x, y)) / both).otherwise(0.0)
 
 
-def relevance(name: Column, query: Column) -> Column:
-    """How well a name answers a query: equal 1, starts with it .85, contains it .7, all parts .8, else by shared parts and trigrams."""
+def glob_pattern(c: Column) -> Column:
+    """A glob as a regular expression: ``*`` is any text, ``?`` any letter, all else itself."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"([.+^${}()|\[\]\\])", r"\\$1"), r"\*", ".*"), r"\?", ".")
+
+
+def relevance(name: Column, query: Column, name_parts: Column | None = None, query_parts: Column | None = None) -> Column:
+    """How well a name answers a query, without letter case.
+
+    Equal 1; a glob that is all of the name .9 or part of it .75; a name that starts with the
+    query .85 or contains it .7; a query that starts with the name .65; all parts of the query
+    .8 or of the name .7, some of them by share and trigrams; some of several words .3 to .6; a
+    name within the query .5; else by trigrams and shared parts. Over many rows the ``subwords``
+    of both should be columns of their own, since they are looked at again and again.
+    """
     n, q = F.lower(name), F.lower(query)
-    np, qp = subwords(name), subwords(query)
+    np, qp = subwords(name) if name_parts is None else name_parts, subwords(query) if query_parts is None else query_parts
     hit_q = F.size(F.filter(qp, lambda x: F.exists(np, lambda y: F.contains(y, x) | F.contains(x, y))))
     hit_n = F.size(F.filter(np, lambda x: F.exists(qp, lambda y: F.contains(y, x) | F.contains(x, y))))
     many = (F.size(qp) >= 2) & (F.size(np) >= 2)
     tri = trigram_similarity(n, q)
     best = F.greatest(hit_q / F.size(qp), hit_n / F.size(np))
-    some = F.filter(np, lambda x: (F.length(x) >= 3) & F.contains(q, x))
+    words = F.filter(F.split(q, r"[\s_]+"), lambda x: F.length(x) >= 3)
+    said = F.size(F.filter(words, lambda x: F.contains(n, x)))
+    long = F.filter(np, lambda x: F.length(x) >= 3)
+    some = F.size(F.filter(long, lambda x: F.contains(q, x)))
+    glob, pattern = q.rlike(r"[*?]"), glob_pattern(q)
     return (
         F.when(n == q, 1.0)
+        .when(glob & F.regexp_like(n, F.concat(F.lit("^"), pattern, F.lit("$"))), 0.9)
+        .when(glob & F.regexp_like(n, pattern), 0.75)
         .when(F.startswith(n, q), 0.85)
         .when(F.contains(n, q), 0.7)
         .when(F.startswith(q, n) & (F.length(n) >= 3), 0.65)
         .when(many & (hit_q == F.size(qp)), 0.8)
         .when(many & (hit_n == F.size(np)), 0.7)
         .when(many & ((hit_q > 0) | (hit_n > 0)), F.least(F.lit(0.79), 0.15 + 0.25 * best + 0.35 * tri))
+        .when((F.size(words) > 1) & (said > 0), 0.3 + 0.3 * said / F.size(words))
         .when((F.length(n) >= 3) & F.contains(q, n), 0.5)
         .when(tri >= 0.3, 0.1 + 0.3 * tri)
-        .when(F.size(some) > 0, 0.1 + 0.15 * F.size(some) / F.greatest(F.size(np), F.lit(1)))
+        .when(some > 0, 0.1 + 0.15 * some / F.greatest(F.size(long), F.lit(1)))
         .otherwise(0.05)
     )
 
 
 def token_rank(t: Column) -> Column:
     """How telling a token of a task is: paths 4, punctuation 3, digits 2, length 1."""
-    return F.when(t.rlike(r"[/\\]"), 4).otherwise(0) + F.when(t.rlike(r"[._:-]"), 3).otherwise(0) + F.when(t.rlike("[0-9]"), 2).otherwise(0) + F.when(F.length(t) >= 8, 1).otherwise(0)
+    return F.when(t.rlike(r"[/\\]"), 4).otherwise(0) + F.when(t.rlike(r"[._-]"), 3).otherwise(0) + F.when(t.rlike("[0-9]"), 2).otherwise(0) + F.when(F.length(t) >= 8, 1).otherwise(0)
 
 
-#: Words that say nothing in a task's text.
-STOP_WORDS = "a an and are as at be by for from has have how in into is it its of on or that the this to was what when where which with".split()
+#: Words that say nothing in a task's text, first English ones, then those common in code.
+STOP_WORDS = (
+    "a about an and are as at be been between by can could do does end explain for from had have how id in is it its just know much of on only or please some "
+    "task than that the them they this through to understand very was were what when where which who why with would "
+    "add all app args build call check class code config create data default delete error event export file find function generate get handle has help import index "
+    "info init input item key let list load log make map message method module name new node not null object option options output parse path process query read "
+    "remove report request response result return run save send server set should show start state status stop string test text token type update use util value var "
+    "version want will work write"
+).split()
+#: Words that do not join to names.
+JOIN_STOP_WORDS = "the and for with from that this have are was not but has how does what when where which about into through during before after should would could being been will than also need understand investigate check look find".split()
 
 
 def seed_tokens(c: Column, most: int = 24) -> Column:
-    """The most telling distinct tokens of a text, best first, equal ones by text."""
-    kept = F.array_distinct(F.filter(tokens(c), lambda t: (F.length(t) >= 3) & ~t.isin(STOP_WORDS) & ~t.rlike("^[0-9.]+$")))
-    ranked = F.array_sort(F.transform(kept, lambda t: F.struct((-token_rank(t)).alias("r"), t.alias("t"))))
+    """The most telling distinct tokens of a text, best first, of equal ones the longer, then the earlier."""
+    kept = F.array_distinct(F.filter(tokens(c), lambda t: (F.length(t) >= 3) & ~t.isin(STOP_WORDS) & ~t.rlike("^[0-9]+$") & t.rlike("[a-z]")))
+    ranked = F.array_sort(F.transform(kept, lambda t, i: F.struct((-token_rank(t)).alias("r"), (-F.length(t)).alias("n"), i.alias("i"), t.alias("t"))))
     return F.slice(F.transform(ranked, lambda s: s["t"]), 1, most)
 
 
+#: Fixed value: camel-case, snake-case and dotted names.
+IDENTIFIER = r"([A-Za-z][A-Za-z0-9]*(?:[_.][A-Za-z0-9]+)+|[a-z]+[A-Z][A-Za-z0-9]*|[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*)"
+
+
 def identifiers(c: Column) -> Column:
     """Distinct camel-case, snake-case and dotted names in a text, in order."""
     t = F.coalesce(c, F.lit(""))
-    return F.array_distinct(F.regexp_extract_all(t, F.lit(r"([A-Za-z][A-Za-z0-9]*(?:[_.][A-Za-z0-9]+)+|[a-z]+[A-Z][A-Za-z0-9]*|[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*)"), 1))
+    return F.array_distinct(F.regexp_extract_all(t, F.lit(IDENTIFIER), 1))
+
+
+def join_words(c: Column) -> Column:
+    """Words of three letters or more that may join to names, in lower case."""
+    return F.filter(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([a-zA-Z]{3,})"), 1), F.lower), lambda x: ~x.isin(JOIN_STOP_WORDS))
+
 
+def compounds(w: Column) -> Column:
+    """Names that adjacent ones of ``join_words``, which should be a column of their own, may form.
 
-def compounds(c: Column) -> Column:
-    """Adjacent words joined to camel-case names."""
-    w = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z]+"), lambda x: (F.length(x) >= 3) & ~x.isin(STOP_WORDS))
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.initcap(b)))
-    return F.array_distinct(pairs)
+    The first ten different pairs as camel, Pascal and snake case, then different triples as
+    camel and Pascal case until there are 40 names.
+    """
+    part = lambda at, size: F.slice(w, at, F.greatest(F.size(w) - size + 1, F.lit(0)))
+    two = lambda size: F.zip_with(part(1, size), part(2, size), lambda a, b: F.concat_ws("_", a, b))
+    pairs = F.slice(F.array_distinct(two(2)), 1, 10)
+    triples = F.array_distinct(F.zip_with(two(3), part(3, 3), lambda a, b: F.concat_ws("_", a, b)))
+    triples = F.slice(triples, 1, F.ceil((40 - 3 * F.size(pairs)) / 2).cast("int"))
+    pascal = lambda p: F.array_join(F.transform(F.split(p, "_"), F.initcap), "")
+    camel = lambda p: F.concat(F.lower(F.substring(p, 1, 1)), F.substring(pascal(p), 2, 1 << 30))
+    return F.concat(F.flatten(F.transform(pairs, lambda p: F.array(camel(p), pascal(p), p))), F.flatten(F.transform(triples, lambda p: F.array(camel(p), pascal(p)))))
 
 
-#: Secrets that must not leave a text, in order, and their names. The patterns work in Java and RE2.
+#: Default patterns of secrets in order, with their names; letter case does not matter, and ``\\b`` is
+#: the edge of a run of ASCII letters, digits and ``_``.
 SECRETS = [
-    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"),
-    ("aws-key", r"\b(AKIA|ASIA)[0-9A-Z]{16}\b"),
-    ("github-token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"),
-    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b"),
-    ("bearer", r"(?i)\bbearer [a-z0-9._~+/-]{16,}=*"),
-    ("url-password", r"://[^/\s:@]+:[^/\s:@]+@"),
-    ("assignment", r"(?i)\b(api[_-]?key|secret|password|token)\s*[:=]\s*[\"']?[a-z0-9_/+.-]{8,}[\"']?"),
-    ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
+    ("aws-access-key", r"\bAKIA[0-9A-Z]{16,32}\b"),
+    ("github-token", r"\bghp_[a-zA-Z0-9]{36}\b"),
+    ("api-key", r"\bapi[_-]?key\s*[=:]\s*[\"']?[a-zA-Z0-9]{20,}[\"']?\b"),
+    ("password", r"\bpassword\s*[=:]\s*[\"']?[^\"'\s]{8,}[\"']?\b"),
+    ("connection-string", r"\b(mongodb://|postgres://|mysql://)[a-zA-Z0-9_\-.:@/]+\b"),
+    ("jwt-token", r"\beyJ[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}\b"),
+    ("private-key", r"-----BEGIN\s+[A-Z\s]+PRIVATE\s+KEY-----"),
+    ("env-variable", r"\b(?:SECRET|TOKEN|APIKEY|API_KEY|AUTH|CREDENTIAL|PRIVATE|PASSWORD)[A-Z_]*\s*[=:]\s*[\"']?[a-zA-Z0-9_\-/+=]{16,}[\"']?\b"),
 ]
+#: Mail addresses, for callers that want them gone as well.
+MAIL = ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b")
+#: Ends of paths that hold secrets.
+SECRET_ENDS = (".env", ".env.local", ".env.production", ".env.development", ".env.test", ".key", ".pem", "credentials.json", "secrets.yaml", "secrets.yml", ".secrets", "config/secrets.json", ".aws/credentials")
+_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
 def redacted(c: Column, patterns: list[tuple[str, str]] | None = None) -> Column:
-    """``c`` with every secret replaced by its name in brackets."""
+    """``c`` with every secret replaced by its name in brackets; null stays null. Own patterns come before ``SECRETS`` by ``[*own, *SECRETS]``."""
     for name, pattern in SECRETS if patterns is None else patterns:
-        c = F.regexp_replace(c, pattern, f"[REDACTED:{name}]")
+        # White space of all scripts, as the patterns mean it.
+        wide = pattern.replace(r"\b", _EDGE).replace(r"[^\"'\s]", r"[^\"'\s\p{Z}\x{FEFF}\x0B]").replace(r"\s*", r"[\s\p{Z}\x{FEFF}\x0B]*").replace(r"\s+", r"[\s\p{Z}\x{FEFF}\x0B]+").replace(r"[A-Z\s]", r"[A-Z\s\p{Z}\x{FEFF}\x0B]")
+        c = F.regexp_replace(c, "(?i)" + wide, f"[REDACTED:{name}]")
     return c
 
 
 def may_hold_secrets(path: Column) -> Column:
-    """Whether a file's name says that it holds secrets."""
-    base = F.lower(F.regexp_extract(path, r"([^/\\]*)$", 1))
-    return base.isin(".env", ".npmrc", ".netrc", ".pgpass", "id_rsa", "id_ed25519", "credentials", "secrets.json", "secrets.yaml") | base.rlike(r"\.(pem|key|p12|pfx|jks|keystore)$|^\.env\.")
+    """Whether a path ends like one that holds secrets, with either kind of slash."""
+    p = F.translate(path, "\\", "/")
+    return functools.reduce(lambda a, b: a | b, (F.endswith(p, F.lit(x)) for x in SECRET_ENDS))
 
 
 def is_test_path(path: Column) -> Column:

@@ -105,19 +105,8 @@ def focus_partition(spark: SparkSession, root: str) -> DataFrame:
 def narrowed_files(spark: SparkSession, root: str) -> DataFrame:
     """Distinct files of a search's symbols by their best place."""
     s = G.symbols(spark, root).where(F.contains(F.lower("name"), F.lit("split"))).select("file_id", "id", "name")
-    w = Window.partitionBy(F.lit(1)).orderBy(F.when(F.lower("name") == "split", 0).otherwise(1), F.length("name"), "id")
-    return s.withColumn("pos", F.row_number().over(w)).join(G.files(spark, root).select("file_id"), "file_id").groupBy("file_id").agg(F.min("pos").alias("pos"))
-
-
-@_add("rrf_context", sql("sym met", "SELECT id, round(sum(w / 2 / (60 + rank)), 9) AS score FROM (SELECT id, 'fts' AS lane, 1.0 AS w, rank FROM (SELECT id, row_number() OVER (ORDER BY fan_in DESC, id) AS rank FROM met) WHERE rank <= 100 UNION ALL SELECT id, 'vector', 1.0, min(rank) FROM (SELECT s.id, f.rank FROM sym s JOIN (SELECT file_id, row_number() OVER (ORDER BY count(*) DESC, file_id) AS rank FROM sym WHERE file_id IS NOT NULL GROUP BY 1) f USING (file_id) WHERE f.rank <= 20) GROUP BY 1) GROUP BY 1"))
-def rrf_context(spark: SparkSession, root: str) -> DataFrame:
-    """Symbol ranks fused with file ranks, which fan out to the symbols of each file."""
-    s = G.symbols(spark, root).select("id", "file_id")
-    fts = A.top_per_group(G.metrics(spark, root).select("id", "fan_in", F.lit("fts").alias("lane")), ["lane"], [F.desc("fan_in"), F.asc("id")], 100, "rank").select("id", "lane", F.lit("fts").alias("source"), "rank")
-    sizes = s.where("file_id is not null").groupBy("file_id").agg(F.count(F.lit(1)).alias("c")).withColumn("lane", F.lit("vector"))
-    files = A.top_per_group(sizes, ["lane"], [F.desc("c"), F.asc("file_id")], 20, "rank")
-    wide = s.join(files, "file_id").select("id", "lane", F.lit("fileSummary").alias("source"), "rank")
-    return S.rrf(fts.unionByName(wide), [], ["id"]).select("id", F.round("score", 9).alias("score"))
+    order = s.select("file_id", "id", F.when(F.lower("name") == "split", 0).otherwise(1).alias("other"), F.length("name").alias("size"))
+    return A.numbered(order, ["other", "size", "id"], "pos").join(G.files(spark, root).select("file_id"), "file_id").groupBy("file_id").agg(F.min("pos").cast("int").alias("pos"))
 
 
 @_add("catalog_ranking", "SELECT p_partkey, score FROM (SELECT p_partkey, CAST(len(list_intersect(list_distinct(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')), ['part', 'item', '7', 'seven'])) AS INT) AS score FROM part) WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 100")
@@ -202,7 +191,7 @@ def short_ids(spark: SparkSession, root: str) -> DataFrame:
     return A.numbered(first, ["first", "user_id"], "short").select("user_id", "short")
 
 
-@_add("packed_rows")
+@_add("packed_rows", sql("edg", "SELECT edge_id, src, dst, edge_type, weight FROM edg"))
 def packed_rows(spark: SparkSession, root: str) -> DataFrame:
     """Edges as lines of text that decode to the same rows."""
     e = G.edges(spark, root).select("edge_id", "src", "dst", "edge_type", "weight")

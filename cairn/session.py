@@ -72,6 +72,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows, else as it is: the join then shuffles."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 class Placed:
     """Rows placed by a key and kept; ``meet`` joins a small side with one row a key to them."""
 

@@ -31,17 +31,43 @@ def test_text(spark):
 
 
 def test_redaction(spark):
-    key = "AKIA" + "A" * 16
-    text = f"k={key} mail a.b@example.org password: hunter2hunter2"
+    key = "akia" + "A" * 20
+    text = (
+        f"k={key} mail a.b@example.org password: hunter2hunter2 postgres://me:pw@host:5/db API_KEY_MAIN = 'abcdefghij0123456789'\n"
+        "-----BEGIN RSA PRIVATE KEY-----\nMAX_BUFFER = 1234567890123456789 eyJabcdefghij.abcdefghijk.abcdefghijk"
+    )
     got = one(spark, text, T.redacted)
-    assert key not in got and "example.org" not in got and "hunter2" not in got and got.count("[REDACTED:") == 3
-    assert one(spark, None, T.redacted) is None
+    names = ["aws-access-key", "password", "connection-string", "env-variable", "private-key", "jwt-token"]
+    assert all(f"[REDACTED:{x}]" in got for x in names) and got.count("[REDACTED:") == len(names)
+    assert key not in got and "hunter2" not in got and "pw@host" not in got and "a.b@example.org" in got and "1234567890123456789" in got
+    assert "example.org" not in one(spark, text, lambda c: T.redacted(c, [T.MAIL, *T.SECRETS])) and one(spark, None, T.redacted) is None
+    assert one(spark, "\u00e9AKIA" + "B" * 16, T.redacted) == "\u00e9[REDACTED:aws-access-key]"
+
+
+def test_secret_paths(spark):
+    yes = [".env", "a/b.key", "deploy\\credentials.json", "home/.aws/credentials", "x/secrets.yml", "prod.env"]
+    no = ["env", "a.keys", "credentials", "CREDENTIALS.JSON", "secrets.json", ""]
+    d = spark.createDataFrame([(x,) for x in yes + no], "p string")
+    assert [r.p for r in d.where(T.may_hold_secrets(F.col("p"))).collect()] == yes
 
 
 def test_relevance(spark):
-    names = {"splitBatch": 1.0, "splitBatchNow": 0.85, "reSplitBatch": 0.7, "batchOfSplit": 0.8, "xyz": 0.05}
-    for name, want in names.items():
-        assert one(spark, name, lambda c: T.relevance(c, F.lit("splitBatch"))) == pytest.approx(want), name
+    cases = {
+        ("splitBatch", "splitBatch"): 1.0, ("splitBatchNow", "splitBatch"): 0.85, ("reSplitBatch", "splitBatch"): 0.7, ("batchOfSplit", "splitBatch"): 0.8, ("xyz", "splitBatch"): 0.05,
+        ("buildGraphSlice", "build*Slice"): 0.9, ("rebuildGraphSlices", "build*Slice"): 0.75, ("a.b", "a?b"): 0.9, ("axb", "a.*"): 0.05, ("evaluate", "evaluatePolicy"): 0.65,
+        ("ledger", "load the ledger"): 0.4, ("ledger", "myledgerfile"): 0.5, ("ledgers", "keep ledger now"): 0.3 + 0.3 / 3, ("buildSlice", "buildGraphSlice"): 0.7,
+    }
+    d = spark.createDataFrame([(*k, v) for k, v in cases.items()], "name string, query string, want double")
+    for r in d.withColumn("got", T.relevance(F.col("name"), F.col("query"))).collect():
+        assert r.got == pytest.approx(r.want), r
+
+
+def test_seed_tokens_and_joined_names(spark):
+    assert one(spark, "Please fix the retryPolicy in src/net.retry_loop and 12345 x-9 zz Backoff", T.seed_tokens) == ["x-9", "net.retry_loop", "retrypolicy", "backoff", "fix", "src"]
+    words = spark.createDataFrame([("Load the ledger rows twice",)], "t string").select(T.join_words(F.col("t")).alias("w"))
+    assert words.select(T.compounds(F.col("w")).alias("x")).first().x == ["loadLedger", "LoadLedger", "load_ledger", "ledgerRows", "LedgerRows", "ledger_rows", "rowsTwice", "RowsTwice", "rows_twice", "loadLedgerRows", "LoadLedgerRows", "ledgerRowsTwice", "LedgerRowsTwice"]
+    many = spark.createDataFrame([(" ".join(chr(97 + i) * 3 for i in range(26)),), ("one",), ("",), (None,)], "t string").select(T.join_words(F.col("t")).alias("w"))
+    assert [len(r.x) for r in many.select(T.compounds(F.col("w")).alias("x")).collect()] == [40, 0, 0, 0]
 
 
 def test_scores(spark):
@@ -113,8 +139,30 @@ def test_bm25_prefers_rare_terms(spark):
     top = S.ranked(got, "query", "score", "doc", 5)
     assert [r.doc for r in top.orderBy("rank").collect()][0] == 1 and top.count() == 3
     q = spark.createDataFrame([("q", "common rare")], "query string, text string")
-    again = S.bm25(S.hits(d, "doc_id", "text", q), S.text_size(d, "text"), q)
+    again = S.bm25(*S.hits(d, "doc_id", "text", q), q)
     assert {(r.doc, round(r.score, 9)) for r in again.collect()} == {(r.doc, round(r.score, 9)) for r in got.collect()}
+    with pytest.raises(ValueError):
+        S.hits(d, "doc_id", "text", q, most_terms=1)
+
+
+def test_whole_words_stand_before_parts(spark):
+    rows = [("a", "x", "type", "p", "resplit it"), ("b", "x", "type", "p", "we split it"), ("c", "x", "type", "p", "split"), ("d", "x", "class", "p", "unsplit"), ("e", "x", "type", "tests/p", "Split early")]
+    d = spark.createDataFrame(rows, "id string, name string, kind string, path string, text string")
+    got = S.lexical(d, spark.createDataFrame([("split",)], "query string"), 9).orderBy("pos").collect()
+    assert [r.id for r in got] == ["b", "e", "d", "a", "c"]
+
+
+def test_vector_index_recall(spark):
+    """Against brute force over all vectors, in clusters and without any; a hot cell is cut into blocks."""
+    r = random.Random(3)
+    centers = [[r.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    rows = [(i, [x + r.gauss(0, 0.3) for x in centers[0 if i % 3 == 0 else i % 40]]) for i in range(4000)] + [(4000, [0.0] * 16), (4001, None)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    q = df.where("id % 20 = 0").select(F.col("id").alias("query"), "v")
+    want = {(x.query, x.id) for x in S.vector_neighbors(df, q, 10).collect()}
+    got = {(x.query, x.id) for x in S.indexed_neighbors(df, q, 10, cells=32, probes=6, sample=1000, block=100).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
+    assert S.indexed_neighbors(df.limit(0), q, 10).isEmpty()
 
 
 def test_test_files(spark):
