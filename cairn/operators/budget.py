@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import refuse_large
+
 
 def greedy_budget(items: DataFrame, order: list[str], size: str, max_items: int, max_total: int) -> DataFrame:
     """``items`` with ``kept``: taken in ascending order if they still fit, else passed over.
@@ -53,55 +55,111 @@ def adaptive_confidence(least: float, used: float, budget: float) -> float:
     return max(least, 0.95) if ratio > 0.9 else max(least, 0.8) if ratio > 0.7 else max(0.0, min(1.0, least))
 
 
-def slice_settled(scores: list[float], ahead: float, threshold: float, max_cards: int) -> bool:
-    """Whether six cards or more, six tenths of them .2 above the threshold, are followed by a clear drop to ``ahead``."""
-    if len(scores) < min(6, max_cards) or sum(x >= threshold + 0.2 for x in scores) < 0.6 * len(scores):
-        return False
-    recent = scores[-6:]
-    return ahead < max(threshold + 0.08, 0.67 * sum(recent) / len(recent))
+#: Strength of an edge by its type (.5 for others), and worth of a start by what named it, the first ones first.
+EDGE_STRENGTH = {"call": 1.0, "import": 0.6, "config": 0.8, "implements": 0.9}
+START_WORTH = {"entrySymbol": 1.4, "entrySibling": 1.22, "entryFirstHop": 1.18, "stackTrace": 1.2, "failingTestPath": 1.1, "editedFile": 1.0, "taskText": 0.6}
 
 
-def beam_slices(edges: DataFrame, seeds: DataFrame, scores: DataFrame, part: str, *, max_cards: int = 60, max_tokens: int = 12_000, min_confidence: float = 0.5, threshold: float = 0.2, frontier: int = 1000, most_edges: int = 2_000_000) -> DataFrame:
-    """Best-first slices from each seed: seed, id, pos, score.
+def best_first(out: dict, nodes: dict, starts: list[tuple[str, str]], *, max_cards: int = 60, max_tokens: float = 12_000, min_confidence: float = 0.5, threshold: float = 0.2, frontier: int = 1000, patience: int = 5) -> list[tuple[str, float]]:
+    """The cards of one slice with their scores, in the order in which they were taken.
 
-    ``edges``: part, src, dst, w, confidence (0..1); ``scores``: part, id, score, tokens (null
-    counts as 50). A node's priority is its own score (0..1) times the strength of the edge that
-    reached it times .8 for each further step; what falls below the threshold is not followed,
-    nor an edge below the confidence that ``adaptive_confidence`` asks for at the tokens used,
-    and the frontier keeps its best. A slice ends at ``max_cards``, at the first card that
-    exceeds ``max_tokens``, or when it has ``slice_settled``. Each part's adjacency lies in one
-    task, since the order depends on what was taken before; a part over ``most_edges`` edges is
-    refused by an error that names it.
+    ``out``: of each node its edges (target, type, confidence), of several to one target the last
+    counts; ``nodes``: of each node (score, signal, boost, tokens, external); ``starts``: (node,
+    source) in their order. All starts share one frontier, which keeps the ``frontier`` best. A
+    neighbour is looked at once: its worth is its score times the edge's strength and confidence,
+    plus its boost and a thousandth of its signal; an edge below the confidence that
+    ``adaptive_confidence`` asks for at the tokens used, or a worth below the threshold, drops it,
+    but a direct import of an entry is worth the threshold at least. External nodes are taken
+    as leaves. A slice ends at the card cap, with the card that exceeds the tokens (which is
+    taken back), after ``patience`` cards in a row below the threshold (edited files are exempt
+    and passed over ones do not count as cards), or when its cap tightens: enough cards, six
+    tenths of them .2 above the threshold, nine tenths of the entries covered, and a clear drop
+    to what comes next.
+    """
+    entries = {x for x, source in starts if source == "entrySymbol"}
+    forced = {x for x, source in starts if source == "editedFile"}
+    enough = max(min(max_cards, 6), min(max_cards, len(entries) + 2 if entries else 6))
+    heap, seen, turn = [], set(), 0
+    for x, source in starts:
+        if x in nodes and x not in seen:
+            heapq.heappush(heap, (-START_WORTH[source], 0, turn, x))
+            seen.add(x)
+            turn += 1
+    taken: dict[str, float] = {}
+    recent: list[float] = []
+    used, low, cap = 0.0, 0, max_cards
+    while heap and len(taken) < cap:
+        need = adaptive_confidence(min_confidence, used, max_tokens)
+        worth, _, _, x = heapq.heappop(heap)
+        worth = -worth
+        if worth < threshold and x not in forced:
+            low += 1
+            if low >= patience:
+                break
+            continue
+        low = 0
+        used += nodes[x][3]
+        if used > max_tokens:
+            break
+        taken[x] = worth
+        recent = [*recent, worth][-6:]
+        targets = {y: (kind, sure) for y, kind, sure in out.get(x, ()) if y not in seen and y not in taken and y in nodes}
+        for y, (kind, sure) in targets.items():
+            seen.add(y)
+            score, signal, boost, _, external = nodes[y]
+            if external:
+                taken[y] = 0.0
+                recent = [*recent, 0.0][-6:]
+                continue
+            if sure < need:
+                continue
+            value = score * EDGE_STRENGTH.get(kind, 0.5) * sure + boost + 0.001 * max(0.0, min(signal, 1.0))
+            if kind == "import" and x in entries:
+                value = max(value, threshold)
+            if value < threshold:
+                continue
+            item = (-value, 10, turn, y)
+            turn += 1
+            if len(heap) < frontier:
+                heapq.heappush(heap, item)
+            elif item < (worst := max(heap)):
+                heap[heap.index(worst)] = item
+                heapq.heapify(heap)
+        if targets and heap and recent and len(taken) >= enough:
+            sure_cards = sum(v >= threshold + 0.2 for v in taken.values())
+            covered = not entries or len(entries & taken.keys()) >= 0.9 * len(entries)
+            if sure_cards >= 0.6 * len(taken) and covered and -heap[0][0] < max(threshold + 0.08, 0.67 * sum(recent) / len(recent)):
+                cap = min(cap, len(taken))
+    return list(taken.items())
+
+
+def beam_slices(edges: DataFrame, starts: DataFrame, nodes: DataFrame, part: str, *, most_edges: int = 2_000_000, **limits) -> DataFrame:
+    """One best-first slice of each part (such as a repository) that has starts: part, id, pos, score.
+
+    ``edges``: part, src, dst, edge_type, confidence (0..1, null or NaN is 1); ``starts``: part,
+    id, source; ``nodes``: part, id, score, signal, boost, tokens, external, of which null counts
+    as 0, 50 tokens and not external. Neighbours come in the order of their id; ``limits`` are
+    those of ``best_first``. The order depends on what was taken before, so the adjacency of a
+    part lies in one task; a part over ``most_edges`` edges is refused before anything moves, by
+    an error that names it. Parts without starts do not move.
     """
+    mine = starts.select(part).where(F.col(part).isNotNull()).distinct()
+    e = edges.select(part, "src", "dst", "edge_type", "confidence").join(mine, part, "left_semi")
+    refuse_large(e, part, most_edges)
+    sure = F.when(F.col("confidence").isNull() | F.isnan("confidence"), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))))
+    order = list(START_WORTH)
 
     def run(key: tuple, e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if len(e) > most_edges:
-            raise ValueError(f"{part} {key[0]} has {len(e)} edges, more than {most_edges}")
-        out: dict[str, list[tuple[str, float, float]]] = {}
-        for a, b, w, c in zip(e["src"], e["dst"], e["w"], e["confidence"]):
-            out.setdefault(a, []).append((b, w, c))
-        own, size = dict(zip(s["id"], s["score"])), dict(zip(s["id"], s["tokens"]))
-        rows = []
-        for seed in sorted(s.loc[s["is_seed"], "id"].unique()):
-            heap, taken, used = [(-1.0, seed, 0)], {}, 0
-            while heap and len(taken) < max_cards:
-                p, x, d = heapq.heappop(heap)
-                need, used = adaptive_confidence(min_confidence, used, max_tokens), used + size.get(x, 50)
-                if used > max_tokens:
-                    break
-                taken[x] = -p
-                rows.append((seed, x, len(taken) - 1, -p))
-                for y, w, c in out.get(x, ()):
-                    q = own.get(y, 0.5) * w * 0.8**d
-                    if y not in taken and c >= need and q >= threshold:
-                        heapq.heappush(heap, (-q, y, d + 1))
-                if len(heap) > frontier:
-                    heap = heapq.nsmallest(frontier, heap)
-                while heap and heap[0][1] in taken:
-                    heapq.heappop(heap)
-                if heap and slice_settled([*taken.values()], -heap[0][0], threshold, max_cards):
-                    break
-        return pd.DataFrame(rows, columns=["seed", "id", "pos", "score"])
-
-    nodes = scores.select(part, "id", "score", "tokens").join(seeds.select("id", F.lit(True).alias("is_seed")).distinct(), "id", "left").select(part, "id", "score", F.coalesce("tokens", F.lit(50)).alias("tokens"), F.coalesce("is_seed", F.lit(False)).alias("is_seed"))
-    return edges.select(part, "src", "dst", "w", "confidence").groupBy(part).cogroup(nodes.groupBy(part)).applyInPandas(run, "seed string, id string, pos int, score double")
+        out: dict[str, list[tuple[str, str, float]]] = {}
+        for a, b, kind, c in sorted(zip(e["src"], e["dst"], e["edge_type"].fillna(""), e["confidence"])):
+            out.setdefault(a, []).append((b, kind, c))
+        known = {i: x for i, *x in zip(s["id"], s["score"], s["signal"], s["boost"], s["tokens"], s["external"])}
+        first = sorted((order.index(x), i) for i, xs in zip(s["id"], s["sources"]) if xs is not None for x in xs)
+        rows = best_first(out, known, [(i, order[x]) for x, i in first], **limits)
+        return pd.DataFrame({part: [key[0]] * len(rows), "id": [x for x, _ in rows], "pos": range(len(rows)), "score": [v for _, v in rows]})
+
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    said = starts.where(F.col("id").isNotNull()).groupBy(part, "id").agg(F.collect_set("source").alias("sources"))  # of seven sources
+    known = nodes.join(mine, part, "left_semi").select(part, "id", zero("score"), zero("signal"), zero("boost"), F.coalesce(F.col("tokens").cast("double"), F.lit(50.0)).alias("tokens"), F.coalesce("external", F.lit(False)).alias("external")).join(said, [part, "id"], "left")
+    kind = dict(nodes.dtypes)[part]
+    return e.select(part, "src", "dst", "edge_type", sure.alias("confidence")).groupBy(part).cogroup(known.groupBy(part)).applyInPandas(run, f"`{part}` {kind}, id string, pos int, score double")

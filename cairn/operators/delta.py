@@ -82,9 +82,12 @@ def match_symbols(old: DataFrame, new: DataFrame, most_pairs: int = 4_000_000) -
     a = old.select(*key, F.col("id").alias("old_id"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"))
     b = new.select(*key, F.col("id").alias("new_id"), F.col("lo").alias("nlo"), F.col("hi").alias("nhi"))
 
+    sizes = a.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(b.groupBy(*key).agg(F.count(F.lit(1)).alias("m")), key)
+    large = sizes.where(F.col("n") * F.col("m") > most_pairs).limit(1).collect()
+    if large:
+        raise ValueError(f"{large[0]['name']} is in file {large[0].file_id} {large[0].n} and {large[0].m} times")
+
     def match(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if len(p) * len(q) > most_pairs:
-            raise ValueError(f"{p['name'].iat[0]} is in file {p['file_id'].iat[0]} {len(p)} and {len(q)} times")
         how = "name" if len(p) == len(q) == 1 else "overlap"
         pairs = sorted((-max(0, min(x.ohi, y.nhi) - max(x.olo, y.nlo) + 1), abs(x.olo - y.nlo), x.old_id, y.new_id) for x in p.itertuples() for y in q.itertuples())
         used, got, rows = set(), set(), []

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, held
+from ..session import cut, held, refuse_large
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, hops: int, *, direction: str = "in") -> DataFrame:
@@ -257,12 +257,11 @@ def local_clusters(edges: DataFrame, part: str, most_edges: int = 2_000_000) ->
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most_edges:
-            raise ValueError(f"{part} {key[0]} has {len(pdf)} edges; use spread_labels")
         label = propagate_labels(zip(pdf["src"], pdf["dst"]))
         return pd.DataFrame({part: key[0], "id": list(label), "label": list(label.values())}, columns=[part, "id", "label"])
 
     one = edges.select(part, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
+    refuse_large(one, part, most_edges, "; use spread_labels")
     return one.groupBy(part).applyInPandas(run, f"`{part}` string, id string, label string")
 
 
@@ -289,8 +288,6 @@ def trace_flows(edges: DataFrame, entries: DataFrame, part: str, max_depth: int
     """
 
     def run(key: tuple, e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if len(e) > most_edges:
-            raise ValueError(f"{part} {key[0]} has {len(e)} edges, more than {most_edges}")
         out: dict[str, list[str]] = {}
         for a, b in sorted(set(zip(e["src"], e["dst"]))):
             out.setdefault(a, []).append(b)
@@ -307,4 +304,6 @@ def trace_flows(edges: DataFrame, entries: DataFrame, part: str, max_depth: int
                 stack.extend((y, d + 1) for y in reversed(out.get(x, ())))
         return pd.DataFrame(rows, columns=["entry", "id", "step", "depth"])
 
-    return edges.select(part, "src", "dst").distinct().groupBy(part).cogroup(entries.select(part, "id").groupBy(part)).applyInPandas(run, "entry string, id string, step int, depth int")
+    distinct = edges.select(part, "src", "dst").distinct()
+    refuse_large(distinct, part, most_edges)
+    return distinct.groupBy(part).cogroup(entries.select(part, "id").groupBy(part)).applyInPandas(run, "entry string, id string, step int, depth int")

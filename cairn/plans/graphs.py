@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as C
 from ..functions import text as T
+from ..operators import aggregates as R
 from ..operators import budget as B
 from ..operators import graph as A
 from ..operators import joins as J
+from ..session import cut
 from ..sources import graph as G
 from ..sources.graph import with_tables as sql
 from .registry import Registry
@@ -251,21 +253,28 @@ def flow_traces(spark: SparkSession, root: str) -> DataFrame:
 
 @_add("beam_slice")
 def beam_slice(spark: SparkSession, root: str) -> DataFrame:
-    """Slices of at most 60 symbols and 12,000 tokens around the changed ones, best first."""
-    return beam_slices_of(spark, root, _seeds(spark, root))
-
-
-def beam_slices_of(spark: SparkSession, root: str, seeds: DataFrame) -> DataFrame:
-    """Slices over the calls inside a repository; an edge without confidence counts as sure."""
-    m = G.metrics(spark, root).select("id", C.hotness(F.col("fan_in"), F.col("fan_out"), F.col("churn30d")).alias("hot"))
+    """A slice of at most 60 symbols and 12,000 tokens of each repository, best first.
+
+    It starts from the three symbols with most edges going out as entries, and from callers of
+    changed symbols as edited ones.
+    """
+    s = G.symbols(spark, root).where("repo_id is not null").select("repo_id", "id", "kind", "name", "signature_json", "summary", "file_id", "symbol_status", "deleted_at")
+    e = G.edges(spark, root).select("src", "dst", "edge_type", "confidence")
+    inner = cut(e.join(s.select(F.col("id").alias("src"), "repo_id"), "src").join(s.select(F.col("id").alias("dst"), F.col("repo_id").alias("other")), "dst").where("repo_id = other").drop("other"))
+    out = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"))
+    busy = cut(R.top_per_group(s.select("repo_id", "id").join(out, "id"), ["repo_id"], [F.desc("out"), F.asc("id")], 3).select("repo_id", "id", F.lit("entrySymbol").alias("source")))
+    changed = s.where("deleted_at is not null").select(F.col("id").alias("dst"))
+    edited = inner.join(changed, "dst", "left_semi").select("repo_id", F.col("src").alias("id"), F.lit("editedFile").alias("source")).distinct()
+    m = G.metrics(spark, root)
+    top = F.broadcast(m.agg(F.max("page_rank").alias("tp"), F.max("k_core").alias("tk")))
+    worth = (0.15 * C.hotness(F.col("fan_in"), F.col("fan_out"), F.col("churn30d")) + 0.15 * C.path_specificity(F.col("path")) + 0.1 * C.kind_specificity(F.col("kind"))) / 0.4
     part = lambda c: F.coalesce(F.length(c), F.lit(0)) / 4
-    out = G.edges(spark, root).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"))
-    tokens = F.ceil(50 + part("name") + part("signature_json") + F.least(part("summary"), F.lit(150)) + 5 * F.coalesce("out", F.lit(0))).alias("tokens")
-    s = G.symbols(spark, root).select("repo_id", "id", "kind", "name", "signature_json", "summary").join(m, "id", "left").join(out, "id", "left")
-    s = s.select("repo_id", "id", F.least(F.lit(1.0), 0.4 + 0.4 * F.coalesce("hot", F.lit(0.0)) + 0.2 * C.kind_specificity(F.col("kind"))).alias("score"), tokens)
-    sure = F.when(F.col("confidence").isNull() | F.isnan("confidence"), 1.0).otherwise(C.clamp(F.col("confidence")))
-    e = _repo_edges(spark, root).withColumn("confidence", sure).groupBy("repo_id", "src", "dst", "confidence").agg(F.max(F.least(F.lit(1.0), F.coalesce("weight", F.lit(1.0)) * F.col("confidence"))).alias("w"))
-    return B.beam_slices(e, seeds, s, "repo_id")
+    tokens = F.ceil(50 + part("name") + part("signature_json") + F.least(part("summary"), F.lit(150)) + 5 * F.coalesce("out", F.lit(0)))
+    cluster = A.spread_labels(inner.where("edge_type = 'call'"))
+    home = busy.join(cluster, "id").select("repo_id", "label").distinct().withColumn("entry", F.lit(True))
+    n = s.join(m.join(top), "id", "left").join(out, "id", "left").join(G.files(spark, root).select("file_id", "path"), "file_id", "left").join(cluster, "id", "left").join(home, ["repo_id", "label"], "left")
+    n = n.select("repo_id", "id", F.coalesce(worth, F.lit(0.0)).alias("score"), C.centrality(F.col("page_rank"), F.col("k_core"), F.col("tp"), F.col("tk")).alias("signal"), C.cohesion(F.col("label"), F.coalesce("entry", F.lit(False)), F.lit(False)).alias("boost"), tokens.alias("tokens"), (F.col("symbol_status") == "external").alias("external"))
+    return B.beam_slices(inner, busy.unionByName(edited), n, "repo_id")
 
 
 @_add("blast_budget")

@@ -77,6 +77,13 @@ def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def refuse_large(rows: DataFrame, part: str, most: int, other: str = "") -> None:
+    """ValueError if a part has more than ``most`` rows, counted where they are, before they meet in one task."""
+    large = rows.groupBy(part).count().where(F.col("count") > most).limit(1).collect()
+    if large:
+        raise ValueError(f"{part} {large[0][0]} has {large[0][1]} rows, more than {most}{other}")
+
+
 class Placed:
     """Rows placed by a key and kept; ``meet`` joins a small side with one row a key to them."""
 
