@@ -15,6 +15,7 @@ from ..operators import sequences as Q
 from ..sources import graph as G
 from ..sources.graph import with_tables as sql
 from ..sources.tables import table
+from .graphs import greedy_sql
 from .registry import Registry
 
 registry = Registry()
@@ -43,7 +44,11 @@ def budget_eviction(spark: SparkSession, root: str) -> DataFrame:
     return B.token_prefix(s, ["repo_id"], [F.desc("e"), F.asc("id")], "t", 2000).select("repo_id", "id", "used")
 
 
-@_add("tier_selection")
+_HOT = "0.5 * CASE WHEN fan_in > 0 THEN least(ln(fan_in + 1) / ln(101), 1) ELSE 0 END + 0.3 * CASE WHEN fan_out > 0 THEN least(ln(fan_out + 1) / ln(51), 1) ELSE 0 END + 0.2 * least(churn30d / 20, 1)"
+_CARDS = f"SELECT id, t, CAST(row_number() OVER (ORDER BY round(hot / t, 12) DESC, id) AS INT) AS rn FROM (SELECT id, {_HOT} AS hot, CAST(50 + ceil(length(coalesce(name, '')) / 4.0) + ceil(length(coalesce(signature_json, '')) / 4.0) + least(ceil(length(coalesce(summary, '')) / 4.0), 150) AS BIGINT) AS t FROM sym JOIN met USING (id))"
+
+
+@_add("tier_selection", sql("sym met", "SELECT id, t AS tokens FROM it JOIN g USING (rn) WHERE kept", greedy_sql(_CARDS, 60, 6000)))
 def tier_selection(spark: SparkSession, root: str) -> DataFrame:
     """Symbols by value for each token within a budget, later smaller ones after larger ones that did not fit."""
     s = G.symbols(spark, root).select("id", T.card_estimate(F.col("name"), F.col("signature_json"), F.col("summary"), F.lit(0)).alias("tokens")).join(G.metrics(spark, root), "id")
@@ -138,7 +143,11 @@ def hot_excerpts(spark: SparkSession, root: str) -> DataFrame:
     return X.excerpts(table(spark, root, "documents"), "doc_id", "text", ["ledger", "token"])
 
 
-@_add("session_deltas")
+_SAME = "CASE WHEN coalesce(list_position(list_transform(range(1, least(len({a}), len({b})) + 1), lambda i: {a}[i] IS DISTINCT FROM {b}[i]), true), 0) > 0 THEN list_position(list_transform(range(1, least(len({a}), len({b})) + 1), lambda i: {a}[i] IS DISTINCT FROM {b}[i]), true) - 1 ELSE least(len({a}), len({b})) END"
+_DELTAS = f"d AS (SELECT repo_id, symbol_id, version_id, signature_json AS new, lag(signature_json) OVER w AS old, row_number() OVER w AS rn FROM ver JOIN (SELECT version_id, repo_id, created_at FROM versions) USING (version_id) WINDOW w AS (PARTITION BY repo_id, symbol_id ORDER BY created_at, version_id)), x AS (SELECT *, CASE WHEN old IS NULL THEN [] ELSE string_split(old, chr(10)) END AS a, CASE WHEN new IS NULL THEN [] ELSE string_split(new, chr(10)) END AS b FROM d WHERE rn > 1 AND old IS DISTINCT FROM new), y AS (SELECT *, {_SAME.format(a='a', b='b')} AS head, list_reverse(a) AS ra, list_reverse(b) AS rb FROM x), z AS (SELECT *, least({_SAME.format(a='ra', b='rb')}, least(len(a), len(b)) - head) AS tail FROM y)"
+
+
+@_add("session_deltas", sql("ver", "SELECT symbol_id, version_id, CAST(head + 1 AS INT) AS line, CAST(greatest(0, len(a) - head - tail) AS INT) AS removed, CAST(greatest(0, len(b) - head - tail) AS INT) AS added FROM z", _DELTAS))
 def session_deltas(spark: SparkSession, root: str) -> DataFrame:
     """What a symbol's signature text changed against the snapshot before, as one hunk of lines."""
     v = table(spark, root, "versions").select("version_id", "repo_id", "created_at")

@@ -38,7 +38,10 @@ def _levels(hops: int, near: str = "dst", far: str = "src") -> str:
 _TEST = "(path LIKE '%.test.ts' OR path LIKE '%.spec.ts' OR path LIKE '%.test.tsx' OR path LIKE '%.spec.tsx' OR path LIKE '%\\_\\_tests\\_\\_%' ESCAPE '\\')"
 
 
-@_add("blast_radius", sql("edg sym fil", f"SELECT s3.id, s3.distance, round(least(1, greatest(0, 0.6 * greatest(0, 1 - distance / 3.0) + 0.3 * least(1, ln(coalesce(i.n, 0) + 1) / ln(100)) + 0.1 * CASE WHEN {_TEST} THEN 1 ELSE 0 END)), 6) AS rank, CASE WHEN distance = 1 THEN 'direct' ELSE 'graph' END AS signal FROM s3 LEFT JOIN (SELECT dst AS id, count(*) AS n FROM edg GROUP BY 1) i USING (id) LEFT JOIN sym ON sym.id = s3.id LEFT JOIN fil USING (file_id) WHERE distance > 0", _levels(3)))
+_BLAST = f"SELECT s3.id, s3.distance, round(least(1, greatest(0, 0.6 * greatest(0, 1 - distance / 3.0) + 0.3 * least(1, ln(coalesce(i.n, 0) + 1) / ln(100)) + 0.1 * CASE WHEN {_TEST} THEN 1 ELSE 0 END)), 6) AS rank, CASE WHEN distance = 1 THEN 'direct' ELSE 'graph' END AS signal FROM s3 LEFT JOIN (SELECT dst AS id, count(*) AS n FROM edg GROUP BY 1) i USING (id) LEFT JOIN sym ON sym.id = s3.id LEFT JOIN fil USING (file_id) WHERE distance > 0"
+
+
+@_add("blast_radius", sql("edg sym fil", _BLAST, _levels(3)))
 def blast_radius(spark: SparkSession, root: str) -> DataFrame:
     """Dependents of changed symbols within three hops, ranked: near, much used, tests."""
     e = G.edges(spark, root)
@@ -121,12 +124,6 @@ def pagerank_fixed(spark: SparkSession, root: str) -> DataFrame:
     return A.page_rank(G.symbols(spark, root), e).select("id", F.round("score", 9).alias("score"))
 
 
-@_add("k_core")
-def k_core(spark: SparkSession, root: str) -> DataFrame:
-    """Coreness of each symbol over calls."""
-    return A.k_core(G.symbols(spark, root), G.edges(spark, root).where("edge_type = 'call'"))
-
-
 def _peel(k: int, rounds: int) -> str:
     out = ["b0 AS (SELECT src, dst FROM edg WHERE edge_type = 'call' AND src <> dst AND src IN (SELECT id FROM sym) AND dst IN (SELECT id FROM sym) UNION SELECT dst, src FROM edg WHERE edge_type = 'call' AND src <> dst AND src IN (SELECT id FROM sym) AND dst IN (SELECT id FROM sym))"]
     for i in range(1, rounds + 1):
@@ -134,6 +131,20 @@ def _peel(k: int, rounds: int) -> str:
     return ", ".join(out)
 
 
+def _bounds(rounds: int) -> str:
+    """Unrolled lowering of each node's bound to the largest h that h neighbours reach."""
+    out = [_peel(0, 0), "h0 AS (SELECT src AS id, count(*) AS h FROM b0 GROUP BY 1)"]
+    for i in range(1, rounds + 1):
+        out.append(f"h{i} AS (SELECT src AS id, max(least(h, rn)) AS h FROM (SELECT b0.src, p.h, row_number() OVER (PARTITION BY b0.src ORDER BY p.h DESC) AS rn FROM b0 JOIN h{i - 1} p ON p.id = b0.dst) GROUP BY 1)")
+    return ", ".join(out)
+
+
+@_add("k_core", sql("edg sym", "SELECT s.id, coalesce(h, 0) AS coreness FROM (SELECT DISTINCT id FROM sym) s LEFT JOIN h60 USING (id)", _bounds(60)))
+def k_core(spark: SparkSession, root: str) -> DataFrame:
+    """Coreness of each symbol over calls."""
+    return A.k_core(G.symbols(spark, root), G.edges(spark, root).where("edge_type = 'call'"))
+
+
 @_add("k_core_members", sql("edg sym", "SELECT DISTINCT src AS id FROM b20", _peel(4, 20)))
 def k_core_members(spark: SparkSession, root: str) -> DataFrame:
     """Symbols in the 4-core of the call graph."""
@@ -277,7 +288,16 @@ def beam_slice(spark: SparkSession, root: str) -> DataFrame:
     return B.beam_slices(inner, busy.unionByName(edited), n, "repo_id")
 
 
-@_add("blast_budget")
+def greedy_sql(items: str, most_items: int, most_total: int) -> str:
+    """Items of ``it`` (rn from 1, t) taken in order while they fit, as a recursive table ``g``."""
+    fits = f"n < {most_items} AND used + t <= {most_total}"
+    return f"it AS ({items}), g AS (SELECT 0 AS rn, 0 AS used, 0 AS n, false AS kept UNION ALL SELECT it.rn, used + CASE WHEN {fits} THEN t ELSE 0 END, n + CASE WHEN {fits} THEN 1 ELSE 0 END, {fits} FROM g JOIN it ON it.rn = g.rn + 1)"
+
+
+_ITEMS = f"SELECT *, CAST(greatest(0, coalesce(tokens, 50)) AS BIGINT) AS t, CAST(row_number() OVER (ORDER BY priority, neg_rank, distance, id) AS INT) AS rn FROM (SELECT CASE WHEN distance = 1 THEN 0 WHEN rank >= 0.5 THEN 1 ELSE 2 END AS priority, -rank AS neg_rank, distance, r.id, CAST(ceil(length(name) / 4.0) + ceil(coalesce(length(signature_json), 0) / 4.0) + 50 AS BIGINT) AS tokens FROM ({_BLAST}) r LEFT JOIN sym USING (id))"
+
+
+@_add("blast_budget", sql("edg sym fil", "SELECT priority, neg_rank, distance, id, tokens, kept FROM it JOIN g USING (rn)", _levels(3) + ", " + greedy_sql(_ITEMS, 60, 2000)))
 def blast_budget(spark: SparkSession, root: str) -> DataFrame:
     """Dependents that fit a budget of 60 cards and 2,000 tokens, in order of priority."""
     r = blast_radius(spark, root)
