@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import numbered
+
 
 def ewma(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.5, block: int = 1000) -> DataFrame:
     """key, n and ewma: the first value is the seed, each next one moves it by ``alpha``.
 
     Folded in blocks: each block of ``block`` values of a key gives a pair (factor, sum) that
-    says how it changes any state, and the pairs combine in order, so a hot key's values do not
-    meet in one list. Null values are left out.
+    says how it changes any state, and the pairs combine in order. Places come from a range
+    partitioning by key and order, so a hot key is neither sorted nor folded in one task; only
+    its pairs, one for a block, meet. ``order`` has to be total within a key. Null values and
+    keys are left out.
     """
-    v = df.where(F.col(value).isNotNull())
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = v.select(key, F.row_number().over(w).alias("_n"), F.col(value).cast("double").alias("_v"))
+    v = df.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(key, *order, F.col(value).cast("double").alias("_v"))
+    placed = numbered(v, [key, *order], "_at")
+    rows = placed.join(placed.groupBy(key).agg(F.min("_at").alias("_first")), key).select(key, (F.col("_at") - F.col("_first") + 1).alias("_n"), "_v")
     rows = rows.withColumn("_b", F.floor((F.col("_n") - 1) / block))
     # Within a block a value of place i weighs alpha * (1 - alpha) ** (size - i); the seed has weight 1 instead of alpha.
     sized = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(key, "_b"))).withColumn("_i", F.col("_n") - F.col("_b") * block)

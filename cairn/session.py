@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -87,13 +87,15 @@ def refuse_large(rows: DataFrame, part: str, most: int, other: str = "") -> None
 class Placed:
     """Rows placed by a key and kept; ``meet`` joins a small side with one row a key to them."""
 
-    def __init__(self, rows: DataFrame, key: str, hot: DataFrame):
-        self.rows, self.key, self._hot = rows, key, hot
+    def __init__(self, rows: DataFrame, key: str, salts: Column | None):
+        self.rows, self.key, self._salts = rows, key, salts
 
     def meet(self, side: DataFrame) -> DataFrame:
         """The placed rows joined with ``side`` on the key; a hot key's row goes to each of its salts."""
-        salts = side.join(self._hot, self.key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-        return self.rows.join(salts, [self.key, "_salt"]).drop("_salt")
+        if self._salts is None:
+            return self.rows.join(side, self.key)
+        each = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), self._salts - 1)))
+        return self.rows.join(each, [self.key, "_salt"]).drop("_salt")
 
 
 @contextmanager
@@ -102,17 +104,22 @@ def held(df: DataFrame, key: str, *, least: int = 5000) -> Iterator[Placed]:
 
     The large side of such a join is then shuffled once and not in every round. A key with more
     than a quarter of a partition's rows (and ``least``) is spread over salts by its row's hash,
-    so no partition is much larger than the others; such keys are at most four a partition and
-    are broadcast. What a lost executor held is made again from ``df``, which should be a cut
-    table. All uses have to be written out before the block ends.
+    so no partition is much larger than the others. Such keys are at most four a partition,
+    whatever the table's size, and stand in the plan. What a lost executor held is made again
+    from ``df``, which should be a cut table. All uses have to be written out before the block
+    ends.
     """
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     limit = max(least, df.count() // (4 * n))
-    hot = F.broadcast(cut(df.groupBy(key).count().where(F.col("count") > limit).select(key, F.ceil(F.col("count") / limit).cast("int").alias("_salts"))))
-    salted = df.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
-    kept = salted.repartition(n, key, "_salt").persist(StorageLevel.MEMORY_AND_DISK)
+    hot = df.groupBy(key).count().where(F.col("count") > limit).collect()  # at most 4 n rows, by the choice of limit
+    salts, places = None, [key]
+    if hot:
+        table = F.create_map(*[F.lit(x) for r in hot for x in (r[key], -(-r["count"] // limit))])
+        salts = F.coalesce(table[F.col(key)], F.lit(1)).cast("int")
+        df, places = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), salts).cast("int")), [key, "_salt"]
+    kept = df.repartition(n, *places).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield Placed(kept, key, hot)
+        yield Placed(kept, key, salts)
     finally:
         kept.unpersist()
 

@@ -1,7 +1,8 @@
 """Structured Streaming twins of the stateful operators.
 
 Each takes a streaming DataFrame. State is keyed and expires by watermark, so it does not grow
-with the stream's history.
+with the stream's history. The two that can do without event time, ``gated_updates`` and
+``running_ewma``, remember every key unless they are given ``late``.
 """
 
 from __future__ import annotations
@@ -14,17 +15,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def gated_updates(stream: DataFrame, key: str, version: str, payload: str) -> DataFrame:
+def _event_time(stream: DataFrame, ts: str | None, late: str | None) -> tuple[DataFrame, str]:
+    """The stream with its watermark and the timeout of its keys' state, if it has to expire."""
+    if ts is None or late is None:
+        return stream, GroupStateTimeout.NoTimeout
+    return stream.withWatermark(ts, late), GroupStateTimeout.EventTimeTimeout
+
+
+def _expire(state: GroupState, frames: list[pd.DataFrame], ts: str | None, timeout: str) -> None:
+    """Let the state go once the watermark passes the key's last event."""
+    if timeout == GroupStateTimeout.EventTimeTimeout:
+        last = max((f[ts].max() for f in frames if len(f)), default=pd.NaT)
+        at = 0 if pd.isna(last) else int(pd.Timestamp(last).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs()) + 1)
+
+
+def gated_updates(stream: DataFrame, key: str, version: str, payload: str, ts: str | None = None, late: str | None = None) -> DataFrame:
     """key, version and payload of each accepted update: its version exceeds the key's current one.
 
     Late and repeated updates change nothing, whatever order they come in; the last row of a
-    key that is given out is its state.
+    key that is given out is its state. With ``ts`` and ``late`` a key is forgotten once the
+    watermark passes its last update, after which any version counts as new.
     """
     kind = dict(stream.dtypes)
+    stream, timeout = _event_time(stream, ts, late)
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         best = state.get[0] if state.exists else None
-        row = None
+        row, frames = None, list(frames)
         for f in frames:
             f = f.dropna(subset=[version])
             if len(f):
@@ -33,11 +54,12 @@ def gated_updates(stream: DataFrame, key: str, version: str, payload: str) -> Da
                     best, row = int(f.at[i, version]), f.at[i, payload]
         if row is not None or best is not None:
             state.update((best,))
+            _expire(state, frames, ts, timeout)
         if row is not None:
             yield pd.DataFrame({key: [k[0]], version: [best], payload: [row]})
 
-    rows = stream.where(F.col(key).isNotNull()).select(key, version, payload)
-    return rows.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind[key]}, `{version}` bigint, `{payload}` {kind[payload]}", "version bigint", "update", GroupStateTimeout.NoTimeout)
+    rows = stream.where(F.col(key).isNotNull()).select(key, version, payload, *([ts] if ts and ts not in (key, version, payload) else []))
+    return rows.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind[key]}, `{version}` bigint, `{payload}` {kind[payload]}", "version bigint", "update", timeout)
 
 
 def debounce(stream: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
@@ -58,11 +80,18 @@ def once(stream: DataFrame, ids: list[str], ts: str, late: str) -> DataFrame:
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(ids)
 
 
-def running_ewma(stream: DataFrame, key: str, ts: str, tie: str, value: str, alpha: float = 0.5) -> DataFrame:
-    """key, n and ewma after each micro-batch; a batch's rows of a key fold in (ts, tie) order."""
+def running_ewma(stream: DataFrame, key: str, ts: str, tie: str, value: str, alpha: float = 0.5, late: str | None = None) -> DataFrame:
+    """key, n and ewma after each micro-batch; a batch's rows of a key fold in (ts, tie) order.
+
+    With ``late`` a key is forgotten once the watermark passes its last event, and starts anew.
+    """
     kind = dict(stream.dtypes)
+    stream, timeout = _event_time(stream, ts, late)
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, e = state.get if state.exists else (0, 0.0)
         parts = [f for f in frames if len(f)]
         if parts:
@@ -70,10 +99,11 @@ def running_ewma(stream: DataFrame, key: str, ts: str, tie: str, value: str, alp
                 e = float(v) if n == 0 else e * (1 - alpha) + float(v) * alpha
                 n += 1
         state.update((n, e))
+        _expire(state, parts, ts, timeout)
         yield pd.DataFrame({key: [k[0]], "n": [n], "ewma": [e]})
 
     rows = stream.where(F.col(key).isNotNull()).select(key, ts, tie, value)
-    return rows.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind[key]}, n bigint, ewma double", "n bigint, ewma double", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind[key]}, n bigint, ewma double", "n bigint, ewma double", "update", timeout)
 
 
 def flush(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None):

@@ -261,3 +261,20 @@ def test_nearest_seed_goes_on_until_nothing_improves(spark):
     e = spark.createDataFrame(chain, "src string, dst string, cost double")
     got = {r.id: r.distance for r in G.nearest_seed(e, ids(spark, ["n00"]), 12.0).collect()}
     assert got == {f"n{i:02}": float(i) for i in range(13)}
+
+
+def test_hot_nodes_are_spread(spark):
+    """Half of the edges end in one node: its partition is not larger than the others, and nothing is lost."""
+    from pyspark.sql import functions as F
+
+    from cairn.session import held
+
+    e = spark.range(8000).selectExpr("concat('s', id) src", "if(id % 2 = 0, 'hub', concat('d', id % 1500)) dst")
+    side = e.select("dst").distinct().withColumn("x", F.length("dst"))
+    with held(e, "dst", least=50) as placed:
+        sizes = [r["count"] for r in placed.rows.groupBy(F.spark_partition_id()).count().collect()]
+        got = placed.meet(side)
+        assert got.count() == 8000 and got.agg(F.sum("x")).first()[0] == e.select(F.sum(F.length("dst"))).first()[0]
+    assert max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+    with held(e, "dst", least=10_000) as placed:
+        assert placed.meet(side).count() == 8000

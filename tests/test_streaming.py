@@ -70,6 +70,18 @@ def test_ewma_of_batches(spark, parts):
     assert {r.user_id: (r.n, round(r.ewma, 6)) for r in got.collect()} == want
 
 
+def test_silent_keys_are_forgotten(spark, tmp_path):
+    """Four files: the key of the first is forgotten once the watermark has passed it."""
+    for i, rows in enumerate(([("a", 5, "x", 1)], [("b", 1, "y", 20)], [("b", 2, "y", 21)], [("a", 3, "z", 21)])):
+        d = spark.createDataFrame(rows, "k string, v bigint, p string, day int").selectExpr("k", "v", "p", "timestamp'2026-01-01' + make_dt_interval(day) ts")
+        d.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        (next((tmp_path / f"in/{i}").glob("*.parquet"))).rename(tmp_path / f"{i}.parquet")
+    for late, want in ((None, {("a", 5), ("b", 1), ("b", 2)}), ("1 day", {("a", 5), ("b", 1), ("b", 2), ("a", 3)})):
+        src = spark.readStream.schema("k string, v bigint, p string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "*.parquet"))
+        got = drain(spark, S.gated_updates(src, "k", "v", "p", "ts", late), "silent_" + ("no" if late is None else "yes"))
+        assert {(r.k, r.v) for r in got.collect()} == want
+
+
 def test_flush_is_durable(spark, parts, tmp_path):
     p, e = parts
     q = S.flush(stream(spark, p), str(tmp_path / "out"), str(tmp_path / "cp"))
