@@ -9,12 +9,28 @@ MAX_PATTERN = 500
 
 
 def risky(pattern: str) -> bool:
-    """Whether a pattern may take exponential time: a repeated group that repeats inside, or repeated alternatives."""
-    if len(pattern) > MAX_PATTERN:
+    """Whether a pattern may take exponential time: a repeated group that repeats or chooses inside, however deep."""
+    if len(pattern) > MAX_PATTERN or re.search(r"(\.\*){3,}", pattern):
         return True
-    nested = re.search(r"\((?:[^()\\]|\\.)*[+*}](?:[^()\\]|\\.)*\)[+*{]", pattern)
-    choice = re.search(r"\((?:[^()\\]|\\.)*\|(?:[^()\\]|\\.)*\)[+*{]", pattern)
-    return bool(nested or choice or re.search(r"(\.\*){3,}", pattern))
+    inside, i = [False], 0  # of each open group, whether it repeats or chooses
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            end = re.compile(r"\[\^?\]?(?:[^\\\]]|\\.)*\]").match(pattern, i)
+            i = end.end() - 1 if end else len(pattern)
+        elif c == "(":
+            inside.append(False)
+        elif c == ")" and len(inside) > 1:
+            held, again = inside.pop(), pattern[i + 1 : i + 2] in ("+", "*", "{")
+            if held and again:
+                return True
+            inside[-1] |= held or again
+        elif c in "+*{|":
+            inside[-1] = True
+        i += 1
+    return False
 
 
 def safe_pattern(pattern: str) -> str:

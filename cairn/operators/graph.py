@@ -280,6 +280,55 @@ def spread_labels(edges: DataFrame, rounds: int = 5) -> DataFrame:
         return state
 
 
+def modularity(edges: DataFrame, labels: DataFrame) -> float:
+    """Modularity of ``labels`` (id, label) on the undirected graph of ``edges`` (src, dst, w); 0 without edges."""
+    e = edges.join(labels.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst")
+    ends = e.select(F.col("a").alias("c"), "w", (F.col("a") == F.col("b")).alias("same")).unionByName(e.select(F.col("b").alias("c"), "w", (F.col("a") == F.col("b")).alias("same")))
+    by = ends.groupBy("c").agg(F.sum("w").alias("total"), F.sum(F.when(F.col("same"), F.col("w")).otherwise(0.0)).alias("inside"))
+    inside, squares, m = by.agg(F.sum("inside"), F.sum(F.col("total") * F.col("total")), F.sum("total")).first()
+    return inside / m - squares / (m * m) if m else 0.0
+
+
+def communities(edges: DataFrame, *, resolution: float = 1.0, levels: int = 5, rounds: int = 8) -> DataFrame:
+    """``id`` and ``label`` (the smallest id) of communities that raise modularity, level by level.
+
+    ``edges``: src, dst, w above 0, taken both ways; repeated ones add up and loops count. A node
+    moves to the community around it that gains most (of equal ones the smallest) and only if
+    that is more than staying gains. All nodes move together, in each round those whose hash
+    with the round is even, so that neighbours do not swap for ever. When a level has settled,
+    or after ``rounds``, its communities become the nodes of the next; ``levels`` bounds these.
+    A node without edges is in no community.
+    """
+    e = edges.where("src is not null and dst is not null and w > 0").select("src", "dst", F.col("w").cast("double").alias("w"))
+    both = cut(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    label = both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
+    double_m = both.agg(F.sum("w")).first()[0]
+    for level in range(levels if double_m else 0):
+        degree = cut(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
+        state, moved_once = degree.select("id", F.col("id").alias("c"), "k"), False
+        with held(both.where("src <> dst"), "dst") as placed:
+            for turn in range(rounds):
+                total = state.groupBy("c").agg(F.sum("k").alias("tot"))
+                near = placed.meet(state.select(F.col("id").alias("dst"), "c")).groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("in"))
+                near = near.unionByName(state.select("id", "c", F.lit(0.0).alias("in")))  # staying is always open
+                ways = near.groupBy("id", "c").agg(F.sum("in").alias("in")).join(state.select("id", F.col("c").alias("own"), "k"), "id").join(total, "c")
+                gain = F.round(F.col("in") - resolution * F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / double_m, 9)
+                # The best way, and staying before any other of the same gain.
+                best = ways.groupBy("id", "own", "k").agg(F.min(F.struct((-gain).alias("g"), (F.col("c") != F.col("own")).alias("away"), F.col("c").alias("c"))).alias("b"))
+                free = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
+                new = cut(best.select("id", F.when(free, F.col("b.c")).otherwise(F.col("own")).alias("c"), "k", (F.col("b.c") != F.col("own")).alias("open"), "own"))
+                moved, left = new.agg(F.count_if(F.col("c") != F.col("own")), F.count_if("open")).first()
+                state, moved_once = new.select("id", "c", "k"), moved_once or moved > 0
+                if not left:
+                    break
+        if not moved_once:
+            break
+        label = cut(label.join(state.select(F.col("id").alias("label"), "c"), "label").select("id", F.col("c").alias("label")))
+        to = lambda c: state.select(F.col("id").alias(c), F.col("c").alias(f"{c}_c"))
+        both = cut(both.join(to("src"), "src").join(to("dst"), "dst").groupBy(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).agg(F.sum("w").alias("w")))
+    return label.join(label.groupBy("label").agg(F.min("id").alias("least")), "label").select("id", F.col("least").alias("label"))
+
+
 def trace_flows(edges: DataFrame, entries: DataFrame, part: str, max_depth: int = 20, most_edges: int = 2_000_000) -> DataFrame:
     """Depth-first preorder from each entry over sorted callees, within its part: entry, id, step, depth.
 

@@ -254,6 +254,13 @@ def label_spread(spark: SparkSession, root: str) -> DataFrame:
     return A.spread_labels(G.edges(spark, root).where("edge_type = 'call'"))
 
 
+@_add("call_communities")
+def call_communities(spark: SparkSession, root: str) -> DataFrame:
+    """Communities of symbols by modularity over all calls."""
+    e = G.edges(spark, root).where("edge_type = 'call'").select("src", "dst", F.lit(1.0).alias("w"))
+    return A.communities(e)
+
+
 @_add("flow_traces")
 def flow_traces(spark: SparkSession, root: str) -> DataFrame:
     """Depth-first traces of calls from entries whose name says so."""

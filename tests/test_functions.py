@@ -170,3 +170,10 @@ def test_test_files(spark):
     no = ["src/a.ts", "tests/fixtures/a.test.ts", "src/mocks/a.spec.js", "mytests/a.ts", "a.test.tsx", "contest.ts"]
     d = spark.createDataFrame([(x,) for x in yes + no], "p string")
     assert [r.p for r in d.where(T.is_test_file(F.col("p"))).collect()] == yes
+
+
+def test_nested_repeats_are_risky():
+    from cairn.functions.globs import risky
+
+    assert all(map(risky, ["(a+)+", "((a+))+", "(?:(a|b))*", "((a*)b){2,}", "(?:x(?:y+)z)+", "(a|a)+", ".*.*.*", "a" * 501]))
+    assert not any(map(risky, ["a+b*", "(abc)+", "[(+]+x", r"\(a+\)+", "(a|b)c", "(a+)?", "", "[]+(]", "(ab)?(c+)"]))

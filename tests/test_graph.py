@@ -278,3 +278,33 @@ def test_hot_nodes_are_spread(spark):
     assert max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
     with held(e, "dst", least=10_000) as placed:
         assert placed.meet(side).count() == 8000
+
+
+def plain_modularity(edges, label):
+    m = sum(w for _, _, w in edges)
+    tot, inside = {}, 0.0
+    for a, b, w in edges:
+        inside += w * (label[a] == label[b])
+        for x in (a, b):
+            tot[label[x]] = tot.get(label[x], 0.0) + w
+    return inside / m - sum(v * v for v in tot.values()) / (4 * m * m)
+
+
+def test_communities_raise_modularity(spark):
+    r = random.Random(4)
+    names = [f"{g}{i:02}" for g in "abcd" for i in range(12)]
+    edges = [(x, y, 1.0) for i, x in enumerate(names) for y in names[:i] if r.random() < (0.6 if x[0] == y[0] else 0.03)]
+    df = spark.createDataFrame(edges, "src string, dst string, w double")
+    got = {x.id: x.label for x in G.communities(df).collect()}
+    planted = {x: x[0] for x in got}
+    assert G.modularity(df, spark.createDataFrame(list(got.items()), "id string, label string")) == pytest.approx(plain_modularity(edges, got))
+    assert plain_modularity(edges, got) >= plain_modularity(edges, planted) - 0.02 and 3 <= len(set(got.values())) <= 6
+    assert all(got[v] == v for v in got.values()) and got == {x.id: x.label for x in G.communities(df.repartition(7)).collect()}
+
+
+def test_communities_of_small_graphs(spark):
+    pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "x"), ("a", "b"), ("s", "s"), (None, "a")]
+    df = spark.createDataFrame([(*p, 1.0) for p in pairs] + [("a", "z", 0.0), ("a", "z", None)], "src string, dst string, w double")
+    got = {x.id: x.label for x in G.communities(df).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x", "s": "s"}
+    assert G.communities(df.limit(0)).isEmpty() and G.modularity(df.limit(0), spark.createDataFrame([], "id string, label string")) == 0
