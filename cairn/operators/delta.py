@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import half_up, staleness_risk
+from .excerpts import parse_symbol
 
 
 def normal_signature(c: Column) -> Column:
@@ -99,3 +100,28 @@ def match_symbols(old: DataFrame, new: DataFrame, most_pairs: int = 4_000_000) -
         return pd.DataFrame(rows, columns=["old_id", "new_id", "how"])
 
     return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(match, "old_id string, new_id string, how string")
+
+
+def descriptor_name(c: Column) -> Column:
+    """The name at the end of an index symbol's descriptor: without its suffix, after the last ``/`` or ``#``."""
+    bare = F.when(F.endswith(c, F.lit("().")), F.regexp_replace(c, r"\(\)\.$", "")).otherwise(F.regexp_replace(c, r"[#./(\[)!:]$", ""))
+    return F.regexp_extract(bare, r"([^/#]*)$", 1)
+
+
+def match_index_symbols(definitions: DataFrame, symbols: DataFrame) -> DataFrame:
+    """file_id, index_symbol, id and how (``exact``, or ``nameOnly`` if the kind differs) of index symbols found among symbols.
+
+    ``definitions``: file_id, index_symbol, kind, lo, hi, a row for each place that defines one;
+    ``symbols``: file_id, id, name, kind, lo, hi. A symbol of the file with the name of the
+    descriptor matches, one of the same kind before others, then the one whose lines overlap
+    most, then the first. Of several definitions the first that matches counts. Local symbols,
+    symbols in another format and null files match nothing. One equi join, whose rows are
+    combined before they move.
+    """
+    d = definitions.where(~F.startswith("index_symbol", F.lit("local ")))
+    d = d.select("file_id", "index_symbol", F.col("kind").alias("_k"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), descriptor_name(parse_symbol(F.col("index_symbol"))["descriptor"]).alias("name")).where("name <> ''")
+    both = d.join(symbols.select("file_id", "name", "id", "kind", "lo", "hi"), ["file_id", "name"])
+    over = F.greatest(F.lit(0), F.least("hi", "_hi") - F.greatest("lo", "_lo") + 1)
+    order = F.struct("_lo", "_hi", (~F.col("kind").eqNullSafe(F.col("_k"))).alias("other"), (-over).alias("over"), "lo", "id")
+    best = both.groupBy("file_id", "index_symbol").agg(F.min(order).alias("b"))
+    return best.select("file_id", "index_symbol", F.col("b.id").alias("id"), F.when(F.col("b.other"), "nameOnly").otherwise("exact").alias("how"))

@@ -127,6 +127,20 @@ def matched_symbols(spark: SparkSession, root: str) -> DataFrame:
     return D.match_symbols(s, new)
 
 
+_MATCHES = "c AS (SELECT repo_id, split_part(caller_node_id, ':', 1) AS path, split_part(caller_node_id, ':', 2) AS name, TRY_CAST(split_part(caller_node_id, ':', 3) AS BIGINT) AS lo, CAST(end_line AS BIGINT) AS hi FROM cal), m AS (SELECT f.file_id, 'index npm ' || c.repo_id || ' 1 ' || c.path || '/' || c.name || '().' AS index_symbol, s.id, s.kind IS DISTINCT FROM 'function' AS other, row_number() OVER (PARTITION BY f.file_id, c.path, c.name, c.repo_id ORDER BY c.lo, c.hi NULLS FIRST, s.kind IS DISTINCT FROM 'function', -greatest(0, least(c.hi, s.range_end_line) - greatest(c.lo, s.range_start_line) + 1), s.range_start_line NULLS FIRST, s.id) AS k FROM c JOIN fil f USING (repo_id, path) JOIN sym s ON s.file_id = f.file_id AND s.name = c.name WHERE c.lo IS NOT NULL AND c.name <> '')"
+
+
+@_add("index_matches", sql("cal fil sym", "SELECT file_id, index_symbol, id, CASE WHEN other THEN 'nameOnly' ELSE 'exact' END AS how FROM m WHERE k = 1", _MATCHES))
+def index_matches(spark: SparkSession, root: str) -> DataFrame:
+    """Callers, written as symbols of an index, found among the symbols of their file."""
+    part = F.split("caller_node_id", ":")
+    c = G.calls(spark, root).select("repo_id", part[0].alias("path"), part[1].alias("name"), F.try_element_at(part, F.lit(3)).try_cast("bigint").alias("lo"), F.col("end_line").cast("bigint").alias("hi"))
+    text = F.concat(F.lit("index npm "), "repo_id", F.lit(" 1 "), "path", F.lit("/"), "name", F.lit("()."))
+    d = c.where("lo is not null").join(G.files(spark, root).select("repo_id", "path", "file_id"), ["repo_id", "path"]).select("file_id", text.alias("index_symbol"), F.lit("function").alias("kind"), "lo", "hi")
+    s = G.symbols(spark, root).select("file_id", "id", "name", "kind", F.col("range_start_line").alias("lo"), F.col("range_end_line").alias("hi"))
+    return D.match_index_symbols(d, s)
+
+
 @_add("last_n_latency", "SELECT event_id, round(avg(value) OVER w, 6) AS mean, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 899 PRECEDING AND CURRENT ROW)")
 def last_n_latency(spark: SparkSession, root: str) -> DataFrame:
     """Mean over the last 900 entries of each key, whatever their age."""

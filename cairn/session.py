@@ -124,10 +124,10 @@ def held(df: DataFrame, key: str, *, least: int = 5000) -> Iterator[Placed]:
         kept.unpersist()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan over at least one partition a core, for work that is heavy for each byte.
+def spread(df: DataFrame, factor: int = 1) -> DataFrame:
+    """Rows of a scan over at least ``factor`` partitions a core, for work that is heavy for each byte.
 
     A table in fewer files than cores would leave cores idle; larger ones stay where they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+    return df if df.rdd.getNumPartitions() >= factor * cores else df.repartition(2 * factor * cores)
