@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from ..session import spread
 
 #: Fixed value: the pattern that splits text before the merges of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -243,7 +243,7 @@ def encode_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             ids = pa.array(model.encode_batch(b.column("text").to_pylist()), pa.list_(pa.int32()), size=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("id"), ids], names=[id_col, "ids"])
 
-    return spread(source).mapInArrow(run, f"`{id_col}` bigint, ids array<int>")
+    return spread(source, 2).mapInArrow(run, f"`{id_col}` bigint, ids array<int>")
 
 
 def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
@@ -256,4 +256,4 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for b in text_slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(model.count_batch(b.column("text").to_pylist()), pa.int64())], names=[id_col, "n_tokens"])
 
-    return spread(source).mapInArrow(run, f"`{id_col}` bigint, n_tokens bigint")
+    return spread(source, 2).mapInArrow(run, f"`{id_col}` bigint, n_tokens bigint")

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import fold_key
+from ..session import spread
 from .bpe import text_slices
-from .common import spread
 
 #: Bits of a codeword, size of the hashed feature space (a power of two), longest n-gram.
 BITS, FEATURES, NGRAM = 31, 1 << 15, 4
@@ -540,7 +540,7 @@ def _run(docs: DataFrame, per_language: int, model: LanguageModel | None, schema
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, arrow.field(n).type) for c, n in zip(zip(*out), names)], schema=arrow)
 
-    return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))).mapInArrow(run, schema)
+    return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), 2).mapInArrow(run, schema)
 
 
 def language_segments(docs: DataFrame, *, per_language: int = 600, model: LanguageModel | None = None) -> DataFrame:
