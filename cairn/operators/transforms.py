@@ -6,10 +6,15 @@ column listed in ``json`` it continues inside the JSON text. What does not resol
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
 import re
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +31,50 @@ def _steps(text: str) -> list[str | int]:
     return out
 
 
+def _number_text(x: float) -> str:
+    """A number as scripts write it: whole ones without a point, exponents only below 1e-6 and from 1e21."""
+    if x == 0 or 1e-6 <= abs(x) < 1e21:
+        whole, _, rest = format(Decimal(repr(abs(x))), "f").partition(".")
+        rest = rest.rstrip("0")
+        return ("-" if x < 0 else "") + whole + (f".{rest}" if rest else "")
+    mantissa, _, power = repr(x).partition("e")
+    return f"{mantissa}e{int(power):+d}"
+
+
+def _is_place(key: str) -> bool:
+    return key.isascii() and key.isdigit() and str(int(key)) == key and int(key) < 2**32 - 1
+
+
+def canonical_text(value) -> str:
+    """A JSON value in one form: keys in order (whole numbers first), no white space, letters as they are."""
+    if isinstance(value, dict):
+        keys = sorted(value, key=lambda k: (0, int(k), b"") if _is_place(k) else (1, 0, k.encode("utf-16-be", "surrogatepass")))
+        return "{" + ",".join(json.dumps(k, ensure_ascii=False) + ":" + canonical_text(value[k]) for k in keys) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical_text, value)) + "]"
+    if isinstance(value, float) or (isinstance(value, int) and not isinstance(value, bool)):
+        return _number_text(float(value)) if math.isfinite(float(value)) else "null"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _hashes(texts: pd.Series) -> pd.Series:
+    seen: dict[str, str | None] = {}
+    for t in texts.dropna().unique():
+        try:
+            seen[t] = hashlib.sha256(canonical_text(json.loads(t)).encode("utf-8", "surrogatepass")).hexdigest()
+        except (ValueError, OverflowError, RecursionError):
+            seen[t] = None
+    return texts.map(lambda t: seen.get(t))
+
+
+def value_hash(c: Column | str) -> Column:
+    """sha256 of the canonical form of the JSON value in each text, so that equal values have equal hashes.
+
+    Null, and text that does not parse, give null. Arrow batches, each different text once.
+    """
+    return F.pandas_udf(_hashes, "string")(c)
+
+
 def path(df: DataFrame, text: str, json: list[str] | None = None) -> Column:
     """The value at a path as a column; values inside JSON come as text."""
     steps = _steps(text)

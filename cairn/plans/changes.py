@@ -141,6 +141,13 @@ def index_matches(spark: SparkSession, root: str) -> DataFrame:
     return D.match_index_symbols(d, s)
 
 
+@_add("signature_hashes")
+def signature_hashes(spark: SparkSession, root: str) -> DataFrame:
+    """Hash of the value of each different signature."""
+    s = G.symbols(spark, root).select("signature_json").where("signature_json is not null").distinct()
+    return s.select("signature_json", X.value_hash("signature_json").alias("hash"))
+
+
 @_add("last_n_latency", "SELECT event_id, round(avg(value) OVER w, 6) AS mean, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 899 PRECEDING AND CURRENT ROW)")
 def last_n_latency(spark: SparkSession, root: str) -> DataFrame:
     """Mean over the last 900 entries of each key, whatever their age."""

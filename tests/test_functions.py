@@ -177,3 +177,17 @@ def test_nested_repeats_are_risky():
 
     assert all(map(risky, ["(a+)+", "((a+))+", "(?:(a|b))*", "((a*)b){2,}", "(?:x(?:y+)z)+", "(a|a)+", ".*.*.*", "a" * 501]))
     assert not any(map(risky, ["a+b*", "(abc)+", "[(+]+x", r"\(a+\)+", "(a|b)c", "(a+)?", "", "[]+(]", "(ab)?(c+)"]))
+
+
+def test_value_hash(spark):
+    import hashlib
+
+    forms = {
+        '{"b": 1.0, "a": [true, null, "\\u00e9"]}': '{"a":[true,null,"\u00e9"],"b":1}', '{"10": 1, "2": 2, "a": 3, "01": 4}': '{"2":2,"10":1,"01":4,"a":3}', " 3 ": "3", "1e21": "1e+21", "0.0000001": "1e-7", "0.00001": "0.00001",
+        "123456789012345680000": "123456789012345680000", "-0.0": "0", '"x"': '"x"', "[]": "[]", "{}": "{}", "0.1": "0.1",
+    }
+    assert {k: X.canonical_text(__import__("json").loads(k)) for k in forms} == forms
+    d = spark.createDataFrame([(k,) for k in forms] + [(None,), ("{bad",), ("",), ("[" * 100_000,)], "t string")
+    got = {r.t: r.h for r in d.select("t", X.value_hash("t").alias("h")).collect()}
+    assert all(got[k] == hashlib.sha256(v.encode()).hexdigest() for k, v in forms.items())
+    assert got[None] is None and got["{bad"] is None and got[""] is None and got["[" * 100_000] is None
